@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target says how many copies of its documents are wanted on average. Whole copies
-are taken outright; the fractions are rounded by duels: two documents exchange mass, counted
-in words so that the source's expected words never change, until one fraction is 0 or 1. Each
-bucket of documents leaves at most one open fraction for each source, and a tree of such
-reductions, ``fan_in`` open fractions at a time, leaves one in the end.
+are taken outright; the fractions are rounded by duels: two sides exchange mass, counted in words
+so that the source's expected words never change, until a document's fraction is 0 or 1. In a
+bucket a document first meets the block of all smaller ones, which keeps the last open
+fraction small, then documents meet one another. Each bucket leaves at most one open fraction
+for each source, and a tree of such duels, ``fan_in`` open fractions at a time, leaves one.
 """
 
 from __future__ import annotations
@@ -65,10 +66,32 @@ def duel(p: float, a: int, q: float, b: int, u: float) -> tuple[float, float]:
     return snap(p), snap(q)
 
 
-def reduce_fractions(part: pd.DataFrame, seed: object) -> pd.DataFrame:
-    """Duel until one row at most is open; larger documents first, so that what stays open is small."""
+def against_rest(p: list[float], size: list[int], row: list[str], seed: object) -> None:
+    """Duels of each document with the block of all smaller ones, for documents of one and the same fraction.
+
+    As a block shares its gain or loss evenly, its fractions stay equal and everyone's expectation stays. A
+    document too large for its block stays open.
+    """
+    own, rest = p[0] if p else 0.0, sum(size)
+    for i, a in enumerate(size):
+        rest -= a
+        p[i] = own
+        if rest <= 0 or (1 - own) * a > own * rest or own * a > (1 - own) * rest:
+            continue
+        p[i] = 1.0 if draw(seed, "rest", row[i]) < own else 0.0
+        own += (own - p[i]) * a / rest
+
+
+def reduce_fractions(part: pd.DataFrame, seed: object, even: bool = False) -> pd.DataFrame:
+    """Duel until one row at most is open, larger documents first, so that what stays open is small. even: all fractions are equal."""
     part = part.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
     p, size, row = part["p"].to_list(), part["size"].to_list(), part["row"].to_list()
+    if even:
+        own = [i for i, x in enumerate(p) if 0 < x < 1]
+        some = [p[i] for i in own]
+        against_rest(some, [size[i] for i in own], [row[i] for i in own], seed)
+        for i, x in zip(own, some, strict=True):
+            p[i] = x
     at = None
     for i in range(len(p)):
         if not 0 < p[i] < 1:
@@ -95,7 +118,7 @@ def copies(rows: DataFrame, targets: DataFrame, small: bool, bucket_rows: int =
     def rounded(df: DataFrame, level: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in groups(batches, ["key", "bucket"]):
-                yield reduce_fractions(part, (seed, level)).drop(columns="key")
+                yield reduce_fractions(part, (seed, level), level == 0).drop(columns="key")
 
         keyed = df.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
         return written(keyed.repartition(n, "key", "bucket").sortWithinPartitions("key", "bucket").mapInPandas(run, kinds))

@@ -10,6 +10,17 @@ from quern.sources.tables import load
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import best_fit_packing
+from .secrets import secret_scan, span_digest
+from .toxicity import score_toxicity, train
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secret_scan(load(spark, sf_dir, "documents")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, load(spark, sf_dir, "labels")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +35,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op8_source_mixing": op8_source_mixing, "op9_best_fit_packing": op9_best_fit_packing}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op5_exact_dedup, op8_source_mixing, op9_best_fit_packing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
