@@ -10,9 +10,11 @@ ever holds all pieces of one length.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,35 +27,80 @@ CAPACITY = 2048
 #: Pieces for each bucket in which ranks are counted.
 BUCKET_ROWS = 2_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
-class WordIds:
-    """Ids of whole texts by way of their words.
+class WordIds(dict):
+    """Ids by word: those of a text are those of its white-space separated words, as the tokenizer drops white space.
 
-    The tokenizer drops white space and never joins over it, so the ids of a text are those of
-    its white-space separated words; each word is tokenized once and remembered.
+    A word's ids are in turn those of its runs of letters, of its digits and of what is between. Runs go through
+    a byte-pair encoder over the same vocabulary in which the end of a word is a byte that no UTF-8 text has;
+    other scripts than Latin, where lower case and normal forms can depend on neighbours, and special tokens
+    go through the tokenizer itself. Words are remembered for a while.
     """
 
-    def __init__(self, path: str):
+    END = b"\xff"
+
+    def __init__(self, path: str, room: int = CACHE_WORDS):
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        self.older: dict[bytes, bytes] = {}
+        self.room = room
+        self.runs_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        suffix = model["end_of_word_suffix"]
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if not token.startswith("<|"):
+                end = token.endswith(suffix)
+                ranks[bytes(of[c] for c in (token[: -len(suffix)] if end else token)) + self.END * end] = i
+        # Merges have ids in the order of their ranks, those with the end of a word first.
+        self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.fresh(word)
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+    def fresh(self, word: bytes) -> bytes:
+        lower = word.lower()
+        core = lower.rstrip(b".,;:!?%&*#$\"|)-")
+        if core.isalpha():  # of bytes: ASCII letters only
+            runs = [core, lower[len(core) :]] if len(core) < len(lower) else [core]
+        else:
+            own = word.decode()
+            if "<|" in own or (not own.isascii() and max(own) > "\u024f"):
+                return np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, "<u4").tobytes()
+            runs = [r.encode() for r in self.runs_of(own.lower())]
+        ids = self.encode(runs[0] + self.END) if runs else []
+        for r in runs[1:]:
+            ids = ids + self.encode(r + self.END)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, then id 0, as little-endian unsigned 32-bit numbers."""
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        fresh = list({w for own in words for w in own if w not in known})
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = list({w for own in words for w in own})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([*map(known.__getitem__, own), b"\0\0\0\0"]) for own in words]
+        of = self.__getitem__
+        for t in texts:
+            if len(self) > self.room:
+                self.older = dict(self)
+                self.clear()
+            yield b"".join([*map(of, (t or "").encode("utf-8", "replace").split()), b"\0\0\0\0"])
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,19 +108,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_i
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out = []
-                for doc, ids in zip(part["doc_id"], ids_of(list(part["text"])), strict=True):
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[a : a + 4 * capacity]
-                        out.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            out = []
+            for doc, ids in zip(batch["doc_id"], words.texts(batch["text"]), strict=True):
+                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[a : a + 4 * capacity]
+                    out.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
