@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.sources.tables import load
 
+from . import class_lm
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import best_fit_packing
@@ -23,6 +24,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, load(spark, sf_dir, "labels")))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return class_lm.score_lm(docs, *class_lm.train(docs))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -35,7 +41,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op5_exact_dedup, op8_source_mixing, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op5_exact_dedup, op8_source_mixing, op9_best_fit_packing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
