@@ -10,6 +10,7 @@ from quern.sources.tables import load
 from . import class_lm
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import best_fit_packing
 from .secrets import secret_scan, span_digest
 from .toxicity import score_toxicity, train
@@ -41,7 +42,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op5_exact_dedup, op8_source_mixing, op9_best_fit_packing)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op5_exact_dedup, op8_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
