@@ -10,6 +10,7 @@ from quern.sources.tables import load
 from . import class_lm
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_dedup
+from .html_text import main_text
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import best_fit_packing
@@ -39,6 +40,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(load(spark, sf_dir, "embeddings"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(load(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op5_exact_dedup, op6_embedding_near_dedup, op8_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op5_exact_dedup, op6_embedding_near_dedup, op7_html_main_text, op8_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
