@@ -119,6 +119,21 @@ class ClassModel:
         return float(np.log10(self.tokens + SMOOTHING * (self.vocabulary + 1)))
 
 
+def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The words above the least frequency that ``most`` words or fewer reach, most frequent first; ties are in or out together."""
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("long")  # a few thousand steps at any size
+    steps = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    least, n = float("inf"), 0
+    for step, more in steps:
+        if (n := n + more) > most:
+            break
+        least = step
+    if least == float("inf"):
+        return pd.DataFrame({"word": [], "n": []})
+    found = counts.filter(level >= least).toArrow().to_pandas()
+    return found.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, item_words: int = ITEM_WORDS, classes: int = CLASSES, head: int = HEAD) -> tuple[ClassModel, DataFrame]:
     """Learn from all rows outside fold 0; the model, and the table of all words' counts (word, n)."""
     texts = docs.filter(fold(f"`{doc_id}`", folds) != 0).select(F.col(f"`{text}`").alias("text"))
@@ -136,7 +151,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     counts = written(texts.mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(head).toPandas()  # at most ``head`` rows
+    top = most_frequent(counts, head)
     words = [END, *[bytes(w) for w in top["word"][:item_words] if bytes(w) != END]]
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -159,12 +174,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     size = len(words) + ENDINGS
     bigrams = np.zeros(size * size)
-    found = texts.mapInPandas(paired, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most size * size rows
+    found = texts.mapInPandas(paired, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most size * size rows
     bigrams[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     bigrams = bigrams.reshape(size, size)
     of = exchange(bigrams, classes)
     kinds = np.zeros(size)
-    found = counts.mapInPandas(grouped, "item int, n long").groupBy("item").agg(F.sum("n").alias("n")).toPandas()  # at most ``size`` rows
+    found = counts.mapInPandas(grouped, "item int, n long").groupBy("item").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most ``size`` rows
     kinds[found["item"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     k = int(of.max()) + 1
     onto = np.eye(k)[of]
