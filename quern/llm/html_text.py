@@ -25,6 +25,8 @@ from .common import groups, written
 
 #: Pages of a host that a wrapper is inferred from (chosen by hash), and how many must differ for shared texts to be template.
 SAMPLE, DIFFERENT = 8, 4
+#: Elements nested deeper than this count as inline, so that no page costs more than in proportion to its length.
+DEEPEST = 200
 #: Host tables up to this many rows are broadcast; a wrapper is a path and a few template texts.
 BROADCAST_ROWS = 50_000
 
@@ -95,7 +97,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # tag, signature, whether beside the article
     parts: list[str] = []
-    linked = 0
+    linked = deep = 0
 
     def flush() -> None:
         nonlocal linked
@@ -130,7 +132,14 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in ("html", "body") and not (m[1] or m[4]) and any(t == tag for t, _, _ in stack):
+            continue
         if m[1] or m[4]:
+            if deep and tag not in VOID:
+                deep -= 1
+                if tag in BLOCKS:
+                    flush()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
@@ -170,7 +179,9 @@ def blocks_of(page: str) -> list[Block]:
         apart = beside(tag, own, any(t in ("article", "main") for t, _, _ in stack))
         if tag in BLOCKS or apart:
             flush()
-        if not (m[3] or m[6] or "").endswith("/"):
+        if len(stack) >= DEEPEST:
+            deep += 1
+        elif not (m[3] or m[6] or "").endswith("/"):
             stack.append((tag, signature(tag, own), apart))
     flush()
     return out
