@@ -107,7 +107,7 @@ def near_embeddings(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     some = rows.filter(usable("embedding", "label") & F.col("vec_id").isNotNull())
     classes = written(some.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
     axes = {}
-    chosen = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).toPandas()  # ``sample`` vectors at most
+    chosen = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).toArrow().to_pandas()  # ``sample`` vectors at most
     if len(chosen):
         for d, own in chosen["embedding"].groupby(chosen["embedding"].map(len)):
             axes[int(d)] = turn(unit(np.stack(own.to_numpy()).astype(np.float64)))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.sources.tables import load
 
-from . import class_lm
+from . import class_lm, quality
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_dedup
 from .html_text import main_text
@@ -32,6 +32,11 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_lm(docs, *class_lm.train(docs))
 
 
+def op4_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op5_exact_dedup, op6_embedding_near_dedup, op7_html_main_text, op8_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_class_lm, op4_co_training_quality, op5_exact_dedup, op6_embedding_near_dedup, op7_html_main_text, op8_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""

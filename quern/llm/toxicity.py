@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pd.DataFrame({"positive": batch["positive"], "own": [look(t) for t in batch["text"]]})
 
-    found = rows.mapInPandas(looked_up, "positive boolean, own array<int>").toPandas()  # a few numbers for each row of a bounded sample
+    found = rows.mapInPandas(looked_up, "positive boolean, own array<int>").toArrow().to_pandas()  # a few numbers for each row of a bounded sample
     rows_of = lambda y: sorted(list(map(int, own)) for own in found.loc[found["positive"] == y, "own"])  # noqa: E731  sorted: rows come in any order
     weights, bias = train_nnpu(rows_of(True), rows_of(False), len(known), prior)
     return Model(known, weights, bias)
