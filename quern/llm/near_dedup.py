@@ -295,3 +295,18 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     named = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; of rows equal in id and text one stays."""
+    found = near_dedup(docs, doc_id, text, **how)
+    dropped = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct())
+    small = dropped.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(dropped) if small else dropped, docs[f"`{doc_id}`"] == F.col("_dropped"), "left_anti")
+    again = written(docs.groupBy(F.col(f"`{doc_id}`").alias("_again")).count().filter("count > 1").select("_again"))
+    few = again.count()
+    if not few:
+        return kept
+    again = F.broadcast(again) if few <= BROADCAST_ROWS else again
+    same = kept[f"`{doc_id}`"].eqNullSafe(F.col("_again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
