@@ -2,7 +2,8 @@
 
 Only confirmed toxic documents count as labelled; everything else, labelled clean or not, is
 unlabelled text that holds a share of toxic documents, the class prior. A linear model over
-words and word beginnings minimises the non-negative risk estimate
+words and word beginnings, found once or more often, and over how many of a text's words have
+any of them, minimises the non-negative risk estimate
 
     prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive))
 
@@ -29,6 +30,11 @@ MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 8_000, 24_000, 30_000
 FOLDS = 5
 #: A feature counts if so large a share of the rows that have it is estimated to be positive, and if that is so many standard deviations from chance.
 MIN_SHARE, MIN_DEVIATIONS = 0.4, 5.0
+#: Ends the name of a feature that a text has twice or more often; no word holds a space.
+TWICE = " 2"
+#: Least numbers, and least shares of all words, of words that have any known feature; each is a feature.
+COUNTS, SHARES = (1, 2, 3, 5), (0.0025, 0.005, 0.01, 0.02)
+TOTALS = [f" n{x}" for x in COUNTS] + [f" s{x}" for x in SHARES]
 #: Tokens that a worker remembers.
 CACHE = 1_000_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -47,17 +53,32 @@ class Lookup:
 
     def __init__(self, known: dict[str, int]):
         self.known, self.seen, self.some = known, set(), {}
+        self.base = {f.removesuffix(TWICE) for f in known}
+        self.counts = [(x, known[f]) for x, f in zip(COUNTS, TOTALS, strict=False)] if known else []
+        self.shares = [(x, known[f]) for x, f in zip(SHARES, TOTALS[len(COUNTS) :], strict=True)] if known else []
 
     def __call__(self, text: str | None) -> list[int]:
-        tokens = set((text or "").lower().split())
+        words = (text or "").lower().split()
+        tokens = set(words)
         if fresh := tokens - self.seen:
             if len(self.seen) > CACHE:
                 self.seen, self.some, fresh = set(), {}, tokens
             for t in fresh:
-                if own := [self.known[f] for f in features_of(t) if f in self.known]:
+                if own := [f for f in features_of(t) if f in self.base]:
                     self.some[t] = own
             self.seen |= fresh
-        return sorted({i for t in tokens & self.some.keys() for i in self.some[t]})
+        if not (hits := tokens & self.some.keys()):
+            return []
+        times: Counter[str] = Counter()
+        n = 0
+        for t, k in Counter(w for w in words if w in hits).items():
+            n += k
+            for f in self.some[t]:
+                times[f] += k
+        names = [*times, *(f + TWICE for f, k in times.items() if k > 1)]
+        own = [self.known[f] for f in names if f in self.known]
+        own += [i for x, i in self.counts if n >= x] + [i for x, i in self.shares if n >= x * len(words)]
+        return sorted(own)
 
 
 @dataclass
@@ -122,12 +143,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             by = {True: Counter(), False: Counter()}
             known: dict[str, list[str]] = {}
             for t, y in zip(batch["text"], batch["positive"], strict=True):
-                own: set[str] = set()
-                for token in set((t or "").lower().split()):
+                once: set[str] = set()
+                twice: set[str] = set()
+                for token, k in Counter((t or "").lower().split()).items():
                     if (found := known.get(token)) is None:
                         found = known[token] = features_of(token)
-                    own.update(found)
-                by[bool(y)].update(own)
+                    twice.update(found if k > 1 else once.intersection(found))
+                    once.update(found)
+                by[bool(y)].update(once)
+                by[bool(y)].update(f + TWICE for f in twice)
             for at, (y, c) in enumerate(by.items()):
                 yield pd.DataFrame({"feature": list(c), "p": [x * (at == 0) for x in c.values()], "u": [x * (at == 1) for x in c.values()]})
 
@@ -141,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     spread = F.sqrt((F.col("p") + F.col("u") + 1) / float(n_p + n_u) / min(n_p, n_u))
     often = prior * (F.col("p") + 0.5) / (n_p + 1) > MIN_SHARE * (F.col("u") + 0.5) / (n_u + 1)
     telling = sums.filter((F.col("p") >= 5) & often & (lift / spread > MIN_DEVIATIONS)).orderBy((lift / spread).desc(), "feature").limit(max_features)
-    known = {r["feature"]: i for i, r in enumerate(telling.select("feature").collect())}  # at most max_features
+    names = [r["feature"] for r in telling.select("feature").collect()]  # at most max_features
+    known = {f: i for i, f in enumerate([*names, *TOTALS])} if names else {}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
