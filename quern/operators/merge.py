@@ -14,11 +14,16 @@ from .exchange import partitions_of, sorted_partitions
 from .ordering import order_exprs
 
 
-def merged_runs(runs: Sequence[DataFrame], keys: Sequence[str], n: int | None = None, mode: str = "signed") -> DataFrame:
-    """The sorted multiset union of runs: every record of every run, in key order over all partitions."""
+def union_of(runs: Sequence[DataFrame]) -> DataFrame:
+    """The multiset union of runs, in any order."""
     if not runs:
         raise ValueError("no runs to merge")
-    return sorted_partitions(reduce(DataFrame.unionByName, runs), keys, n, mode=mode)
+    return reduce(DataFrame.unionByName, runs)
+
+
+def merged_runs(runs: Sequence[DataFrame], keys: Sequence[str], n: int | None = None, mode: str = "signed") -> DataFrame:
+    """The sorted multiset union of runs: every record of every run, in key order over all partitions."""
+    return sorted_partitions(union_of(runs), keys, n, mode=mode)
 
 
 def key_ranks(df: DataFrame, keys: Sequence[str], n: int | None = None, mode: str = "signed") -> DataFrame:

@@ -108,10 +108,10 @@ def binary_key_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies, CAST(sum(count(*)) OVER (ORDER BY l_orderkey, l_linenumber) - count(*) + 1 AS BIGINT) AS rank FROM lineitem GROUP BY 1, 2")
 def sorted_run_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-way merge of the runs that the return flags make."""
+    """The k-way merge of the runs that the return flags make; ranks say its order, so it needs no sort of its own."""
     lines = load(spark, sf_dir, "lineitem")
     runs = [lines.filter(F.col("l_returnflag") == f).select(*LINE_KEYS) for f in ("A", "N", "R")]
-    return merge.key_ranks(merge.merged_runs(runs, LINE_KEYS), LINE_KEYS).select(*LINE_KEYS, "copies", "rank")
+    return merge.key_ranks(merge.union_of(runs), LINE_KEYS).select(*LINE_KEYS, "copies", "rank")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
