@@ -1,17 +1,22 @@
 """Secret scan: three fixed patterns, and strings that a primed compressor finds new.
 
-A candidate is a long mixed string shortly after a sensitive word. Zstandard is primed with a
+A candidate is a long string shortly after a sensitive word. Zstandard is primed with a
 dictionary of ordinary identifiers and the text around the candidate; the bytes that the
 candidate adds are its novelty. Ordinary names and repeated words cost few bytes, random keys
-almost one byte a character, and those are reported.
+almost what zstandard needs for random characters of their alphabet, and those are reported.
+Strings without digits or without letters, and those that zstandard codes by characters'
+frequency, must also be as new to pairs of characters as random ones, as words are not.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +33,15 @@ SENSITIVE_PARTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "priv
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 #: Characters after a sensitive word in which a candidate may start, and those around it that prime the compressor.
 REACH, AROUND = 64, 1024
-#: Added bytes for each character from which on a candidate is new.
+#: Added bytes from which on a candidate is new, as a share of what random characters of its alphabet need.
 NOVELTY = 0.8
+#: Bits by pairs of characters from which on a candidate is no word, as a share of those that random characters need at least
+#: (words have about 0.9, random letters 2, random digits 3 and more), and different characters that it must then have.
+PAIRS, DIFFERENT = 1.25, 5
+#: Zstandard stores fewer characters as they are. Alphabets count as having ten characters at least. Longer random strings cost as much a character.
+STORED, LEAST_ALPHABET, LEVEL_FROM = 64, 10, 4096
+#: Pseudo-counts of single characters in the counts of pairs.
+BACK = 10.0
 #: Identifiers and phrases of ordinary code and configuration.
 IDENTIFIERS = b" ".join(
     f"{a}{b} {a.lower()}_{b.lower()} {a.lower()}-{b.lower()}".encode()
@@ -38,13 +50,55 @@ IDENTIFIERS = b" ".join(
 ) + b" https://www.example.com/index.html?query=value&page=123 0123456789 1234567890 2024-01-01T00:00:00Z abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0000000000000000 xxxxxxxxxxxxxxxx "
 
 
+def coded(data: bytes, **primed) -> int:
+    """Bytes that ``data`` takes beyond an empty frame."""
+    import zstandard
+
+    compressor = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=False, write_dict_id=False, **primed)
+    return len(compressor.compress(data)) - len(compressor.compress(b""))
+
+
+def alphabet(candidate: bytes) -> int:
+    return max(LEAST_ALPHABET, len(set(candidate)))
+
+
+@cache
+def random_size(letters: int, n: int) -> float:
+    """Bytes that ``n`` random characters of so many letters take without a dictionary."""
+    if n < STORED:
+        return float(n)
+    if n > LEVEL_FROM:
+        return random_size(letters, LEVEL_FROM) * n / LEVEL_FROM
+    return float(coded(bytes(random.Random(letters).choices(range(letters), k=n))))
+
+
 def novelty(candidate: bytes, around: bytes, identifiers: bytes = IDENTIFIERS) -> float:
-    """Bytes that a candidate adds to a compressor primed with identifiers and the text around it, for each of its own."""
+    """Bytes that a candidate adds to a compressor primed with identifiers and the text around it, by those that random characters of its alphabet need."""
     import zstandard
 
     primed = zstandard.ZstdCompressionDict(identifiers + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return (len(compressor.compress(candidate)) - len(compressor.compress(b""))) / max(1, len(candidate))
+    return coded(candidate, dict_data=primed) / max(1.0, random_size(alphabet(candidate), len(candidate)))
+
+
+#: Letters of either case, digits, and one symbol for the rest.
+_SYMBOLS = np.full(256, 36, dtype=np.int64)
+_SYMBOLS[[*range(97, 123)]] = _SYMBOLS[[*range(65, 91)]] = np.arange(26)
+_SYMBOLS[[*range(48, 58)]] = np.arange(26, 36)
+
+
+def pair_counts(data: bytes) -> np.ndarray:
+    own = _SYMBOLS[np.frombuffer(data, dtype=np.uint8)]
+    return np.bincount(own[:-1] * 37 + own[1:], minlength=37 * 37).reshape(37, 37)
+
+
+def pair_novelty(candidate: bytes, known: np.ndarray) -> float:
+    """Bits of a candidate's characters, each after the one before, under the counts ``known``; by those of random hex digits, or letters, digits and others as far as it has them."""
+    own = pair_counts(candidate)
+    each = (known.sum(axis=0) + 1) / (known.sum() + 37)
+    bits = -np.log2((known + BACK * each) / (known.sum(axis=1, keepdims=True) + BACK))
+    has = own.sum(axis=0) + own.sum(axis=1) > 0
+    letters = 26 if has[6:26].any() else 6 if has[:6].any() else 0
+    return float((own * bits).sum() / (len(candidate) - 1) / np.log2(max(LEAST_ALPHABET, letters + 10 * has[26:36].any() + has[36])))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,14 +112,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def is_new(candidate: bytes, around: bytes, pairs: np.ndarray, threshold: float, identifiers: bytes) -> bool:
+    if novelty(candidate, around, identifiers) < threshold:
+        return False
+    if len(candidate) < STORED and any(c in b"0123456789" for c in candidate) and candidate.upper() != candidate.lower():
+        return True
+    return len(set(candidate)) >= DIFFERENT and pair_novelty(candidate, pairs) >= PAIRS
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float = NOVELTY, identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, str]]:
-    """Further spans: strings with letters and digits after a sensitive word, not in ``taken``, that don't compress."""
+    """Further spans: strings after a sensitive word, not in ``taken``, that don't compress."""
     lower = text.lower()
     if not any(w in lower for w in SENSITIVE_PARTS):
         return []
     taken = sorted(x[:2] for x in taken)
     out: list[tuple[int, int, str]] = []
-    done, at = 0, 0
+    done, at, pairs = 0, 0, None
     for word in SENSITIVE.finditer(text):
         for m in CANDIDATE.finditer(text, max(done, word.end())):
             a, b = m.span()
@@ -75,11 +137,16 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float =
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
             own = m[0]
-            if at < len(taken) and taken[at][0] < b or not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
+            if at < len(taken) and taken[at][0] < b:
                 continue
+            if pairs is None:  # of the text without its candidates, or a text full of keys would make keys ordinary
+                pairs = pair_counts(identifiers) + pair_counts(CANDIDATE.sub(" ", text).encode("utf-8", "replace"))
             around = (text[max(0, a - AROUND) : a] + text[b : b + AROUND]).encode("utf-8", "replace")
-            if novelty(own[:AROUND].encode(), around, identifiers) >= threshold:
-                out.append((a, b, "novel"))
+            # As a whole, and in pieces where it is long: a key may be one part of it.
+            parts = [own, *(own[min(k, len(own) - AROUND) :][:AROUND] for k in range(0, len(own), AROUND))] if len(own) > AROUND else [own]
+            if not any(is_new(x.encode(), around, pairs, threshold, identifiers) for x in parts):
+                continue
+            out.append((a, b, "novel"))
     return out
 
 

@@ -56,6 +56,28 @@ def test_novel_strings_are_told_from_names():
     assert [text[a:b] for a, b, _ in novel_spans(text, base_spans(text))] == [key]
 
 
+def test_random_strings_of_all_lengths_and_alphabets_are_novel():
+    rng = random.Random(7)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    words = ["request", "weather", "station", "morning", "value", "winter", "river", "market", "letter", "garden"]
+    before = " ".join(rng.choice(words) for _ in range(150))
+    for letters in (digits + "ABCDEF", upper + "234567", upper + lower + digits + "+/", upper + lower):
+        for n in (16, 24, 48, 63, 64, 96, 128, 160, 400, 800, 1024, 1100, 2048, 4096):
+            found = 0
+            for _ in range(20):
+                key = "".join(rng.choices(letters, k=n))
+                text = f"{before} private_key: {key} {before}"
+                found += [text[a:b] for a, b, _ in novel_spans(text, base_spans(text))] == [key]
+            assert found >= 19, (letters, n, found)
+    long_words = "-".join(rng.choice(words) for _ in range(4000))
+    for own in (long_words, long_words[:1000], long_words[:200], "internationalization", "AUTHENTICATION_REQUIRED", "=" * 16, "-" * 90, "a" * 16):
+        assert not novel_spans(f"{before} private_key: {own} {before}", []), own[:40]
+    # Not by their first characters alone: keys before, between and after words of the same string.
+    key = "".join(rng.choices(upper + lower + digits, k=2048))
+    for own in (key + long_words, long_words + key, long_words + key + long_words):
+        assert novel_spans(f"{before} private_key: {own} {before}", []), own[:40]
+
+
 def test_all_cases_and_clashing_columns(spark):
     found = secret_scan(frame(spark, extra=True)).collect()
     assert len(found) == len(rows())
