@@ -44,6 +44,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register share sharing social follow related recommended recommendations teaser comment comments commentlist discussion reply replies respond disqus widget widgets pagination pager copyright disclaimer hidden skip search".split()
 )
+#: Parts of an article by tag: their ids name topics, apart from those of readers' comments.
+TOPICS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CORE = frozenset(("html", "body", "article", "main"))
 
@@ -80,7 +83,11 @@ def beside(tag: str, own: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in CORE:
         return False
-    words = {w.lower() for w in NAME.findall(html.unescape(f"{own.get('class', '')} {own.get('id', '')}"))}
+    words_in = lambda name: {w.lower() for w in NAME.findall(html.unescape(own.get(name, "")))}
+    words, ids = words_in("class"), words_in("id")
+    if in_article and tag in TOPICS:
+        ids &= READERS if tag == "section" else frozenset()
+    words |= ids
     return bool(words & WORDS) or (not in_article and bool(words & {"header", "banner"}))
 
 

@@ -39,6 +39,24 @@ def test_single_page_and_odd_markup():
     assert extract(None, None) == extract("", None) == ""
 
 
+def test_ids_of_topics_inside_an_article_are_kept():
+    for outer in ("article", "main"):
+        inside = '<p>a</p><section id="discussion"><p>b</p></section><h2 id="related-work">c</h2><p>d</p>'
+        beside = '<section id="comments"><p>x</p></section><section class="related"><p>x</p></section><div id="related"><p>x</p></div>'
+        assert extract(f"<body><{outer}>{inside}{beside}</{outer}></body>", None) == "a\nb\nc\nd"
+    assert extract('<body><section id="related"><p>x</p></section><article><p>a</p></article></body>', None) == "a"
+
+
+def test_host_of_several_layouts_and_unlisted_names():
+    # Two layouts with names that no list has; one line is the same on all pages of the first.
+    first = lambda n: f'<body><div class="zq">Top</div><div class="qx"><article class="ko"><h1>t{n}</h1>{"<p>more</p>" * (n % 3)}<p>{"<b>y</b>" * n}a{n}</p><div class="wv">Desk line</div></article></div></body>'
+    second = lambda n: f'<body><div class="vv">Top</div><main class="lu"><h2 id="share-prices">s{n}</h2><p>b{n}</p></main></body>'
+    one = lambda n: "\n".join([f"t{n}", *["more"] * (n % 3), "y" * n + f"a{n}"])
+    wrapper = infer([first(n) for n in range(8)])
+    assert [extract(first(n), wrapper) for n in range(20)] == [one(n) for n in range(20)]
+    assert [extract(second(n), wrapper) for n in range(5)] == [f"s{n}\nb{n}" for n in range(5)]
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     some = [f"<article><h1>t{i}</h1>{'<h2>s</h2>' if i % 2 else ''}{'<p>x</p>' * (i + 1)}</article>" for i in range(4)]
     from quern.llm.html_text import Node, aligned
