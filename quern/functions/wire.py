@@ -68,3 +68,36 @@ def decode_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
             raise ValueError("the run ends inside a record")
         yield data[at : at + k], data[at + k : at + k + v]
         at += k + v
+
+
+class RecordStream:
+    """Records from a run that comes in pieces cut anywhere: only the record that is still incomplete is held."""
+
+    def __init__(self) -> None:
+        self.rest, self.ended = b"", False
+
+    def feed(self, piece: bytes) -> list[tuple[bytes, bytes]]:
+        """The records that the piece completes; what follows the end of the run is ignored."""
+        out: list[tuple[bytes, bytes]] = []
+        data, at = self.rest + piece, 0
+        while not self.ended and at < len(data):
+            try:
+                k, a = decode_vint(data, at)
+                v, a = decode_vint(data, a)
+            except ValueError:  # the lengths themselves are cut
+                break
+            if k == v == END_OF_RUN:
+                self.ended = True
+                break
+            if k < 0 or v < 0:
+                raise ValueError("a record has a negative length")
+            if a + k + v > len(data):
+                break
+            out.append((data[a : a + k], data[a + k : a + k + v]))
+            at = a + k + v
+        self.rest = b"" if self.ended else data[at:]
+        return out
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the run ends inside a record")

@@ -32,11 +32,21 @@ def sorted_partitions(df: DataFrame, keys: Sequence[str], n: int | None = None,
 
 
 def range_partition(key: Column, splits: Sequence) -> Column:
-    """The number of split points that are not above ``key``: its partition among len(splits) + 1."""
-    out = F.lit(0)
-    for k, split in enumerate(sorted(splits), 1):
-        out = F.when(key >= F.lit(split), F.lit(k)).otherwise(out)
-    return out
+    """The number of split points that are not above ``key``: its partition among len(splits) + 1; a null key is in the first.
+
+    A binary search in one array literal, so that thousands of split points make no larger plan than two.
+    """
+    n = len(splits)
+    if not n:
+        return F.lit(0)
+    points = F.array(*map(F.lit, sorted(splits)))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.coalesce(key >= F.get(points, middle), F.lit(False))
+        return F.when(s["low"] >= s["high"], s).when(above, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve, lambda s: s["low"])
 
 
 def modulo_partition(key: Column, n: int) -> Column:
@@ -52,7 +62,8 @@ def salted(df: DataFrame, salts: int, name: str = "salt") -> DataFrame:
 def partition_directory(df: DataFrame, partition: Column, length: Column, name: str = "part") -> DataFrame:
     """An index row for each partition: part, records, length, start (bytes of all partitions before it).
 
-    Rows are summed map-side; the window sees one row for each partition.
+    Rows are summed map-side; the window sees one row for each partition, so ``partition`` must be a number among
+    a bounded many, as the partitioners above give it.
     """
     sums = df.groupBy(partition.alias(name)).agg(F.count(F.lit(1)).alias("records"), F.sum(length.cast("long")).alias("length"))
     before = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)

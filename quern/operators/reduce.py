@@ -60,7 +60,22 @@ def wordcount(df: DataFrame, text: str = "text") -> DataFrame:
     return reduce_groups(words(df, text), ["word"], F.count(F.lit(1)).alias("n"))
 
 
-def first_success(events: DataFrame, task: str, attempt: str, status: str, succeeded: Sequence[str]) -> DataFrame:
-    """One row per task that succeeded: the earliest successful attempt, and how many succeeded."""
-    good = events.filter(F.col(f"`{status}`").isin(*succeeded))
-    return reduce_groups(good, [task], F.min(F.col(f"`{attempt}`")).alias("winner"), F.count(F.lit(1)).alias("successes"))
+def first_success(events: DataFrame, task: str, attempt: str, status: str, succeeded: Sequence[str], order: str | None = None, revoked: Sequence[str] = (), on_revoked: str = "raise") -> DataFrame:
+    """One row per task that succeeded: the attempt whose success was reported first (``winner``), and how many reports said so (``successes``).
+
+    Reports come in the order of ``order`` (the attempt's own where that is None). An attempt whose success
+    was taken may not be taken back: if one of ``revoked`` is reported for a winner later than its success, the
+    query fails, or with ``on_revoked="mark"`` says so in a column ``revoked``. Other attempts may fail freely.
+    """
+    if on_revoked not in ("raise", "mark"):
+        raise ValueError(f"on_revoked {on_revoked!r} is neither 'raise' nor 'mark'")
+    at, is_ok = F.col(f"`{order or attempt}`"), F.col(f"`{status}`").isin(*succeeded)
+    gone = F.col(f"`{status}`").isin(*revoked) if revoked else F.lit(False)
+    by = events.filter(is_ok | gone).groupBy(F.col(f"`{task}`").alias("task"), F.col(f"`{attempt}`").alias("attempt"))
+    attempts = by.agg(F.min(F.when(is_ok, at)).alias("ok"), F.max(F.when(gone, at)).alias("gone"), F.count_if(is_ok).alias("n")).filter("ok IS NOT NULL")
+    tasks = attempts.groupBy("task").agg(F.min(F.struct("ok", "attempt", "gone")).alias("first"), F.sum("n").alias("successes"))
+    late = F.coalesce(F.col("first.gone") > F.col("first.ok"), F.lit(False))
+    winner = F.col("first.attempt")
+    if on_revoked == "raise" and revoked:
+        winner = F.when(late, F.raise_error(F.concat(F.lit("attempt "), winner.cast("string"), F.lit(" was taken back after its success was taken"))).cast(events.schema[attempt].dataType)).otherwise(winner)
+    return tasks.select(F.col("task").alias(task), winner.alias("winner"), "successes", *([late.alias("revoked")] if on_revoked == "mark" else []))

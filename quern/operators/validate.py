@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,36 +41,44 @@ def partition_summary(df: DataFrame, keys: Sequence[str], mode: str = "signed",
     names = terms.columns[:-1]
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in terms.schema.fields[:-1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = first = last = None
-        rows = bad = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "rows": [rows], "violations": [bad], "first": first.to_dict("records"), "last": last.to_dict("records")})
+        def out(schema: pa.Schema) -> pa.RecordBatch:
+            key = pa.struct([schema.field(n) for n in names])
+            fields = [("part", schema.field("part").type), ("rows", pa.int64()), ("violations", pa.int64()), ("first", key), ("last", key)]
+            return pa.RecordBatch.from_pylist([held], pa.schema(fields))
 
         for batch in batches:
-            edges = [0, *((batch["part"] != batch["part"].shift()).to_numpy().nonzero()[0][1:]), len(batch)]
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(name) for name in names]
+            key_at = lambda i: {name: c[i].as_py() for name, c in zip(names, columns, strict=True)}  # noqa: B023, E731
+            parts = batch.column("part")
+            less, same = np.zeros(n - 1, dtype=bool), np.ones(n - 1, dtype=bool)
+            for c in columns:
+                a, b = c.slice(0, n - 1), c.slice(1)
+                less |= same & pc.less(b, a).to_numpy(zero_copy_only=False)
+                same &= pc.equal(b, a).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(pc.not_equal(parts.slice(1), parts.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1), n]
             for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                own = batch.iloc[a:b]
-                if first is None or own["part"].iloc[0] != part:
-                    if first is not None:
-                        yield out()
-                    part, first, last, rows, bad = own["part"].iloc[0], own[names].iloc[:1], None, 0, 0
-                both = own[names] if last is None else pd.concat([last, own[names]], ignore_index=True)
-                less, same = np.zeros(len(both) - 1, dtype=bool), np.ones(len(both) - 1, dtype=bool)
-                for name in names:
-                    x = both[name].to_numpy()
-                    less |= same & (x[1:] < x[:-1])
-                    same &= x[1:] == x[:-1]
-                bad += int(less.sum())
-                rows += b - a
-                last = own[names].iloc[-1:]
-        if first is not None:
-            yield out()
-
-    return terms.mapInPandas(run, f"part {terms.schema['part'].dataType.simpleString()}, rows long, violations long, first struct<{kinds}>, last struct<{kinds}>")
+                a, b = int(a), int(b)
+                first, part = key_at(a), parts[a].as_py()
+                if held is None or part != held["part"]:
+                    if held is not None:
+                        yield out(batch.schema)
+                    held = {"part": part, "rows": 0, "violations": 0, "first": first, "last": None}
+                elif tuple(first.values()) < tuple(held["last"].values()):
+                    held["violations"] += 1
+                held["rows"] += b - a
+                held["violations"] += int(less[a : b - 1].sum())
+                held["last"] = key_at(b - 1)
+            schema = batch.schema
+        if held is not None:
+            yield out(schema)
+
+    return terms.mapInArrow(run, f"part {terms.schema['part'].dataType.simpleString()}, rows long, violations long, first struct<{kinds}>, last struct<{kinds}>")
 
 
 def validate_sorted(df: DataFrame, keys: Sequence[str], mode: str = "signed", label: Column | None = None) -> DataFrame:
@@ -84,18 +93,23 @@ def validate_sorted(df: DataFrame, keys: Sequence[str], mode: str = "signed", la
 def validate_files(spark: SparkSession, path: str, keys: Sequence[str], mode: str = "signed") -> DataFrame:
     """``validate_sorted`` for a written table: its part files in the order of their names, their splits by place."""
     where = F.concat_ws(":", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
-    df = spark.read.parquet(path)
-    return validate_sorted(df.select("*", where.alias("_where")), keys, mode, F.col("_where"))
+    own = [f"k{i}" for i in range(len(keys))]
+    df = spark.read.parquet(path).select(*[F.col(f"`{k}`").alias(c) for k, c in zip(keys, own, strict=True)], where.alias("place"))
+    return validate_sorted(df, own, mode, F.col("place"))
 
 
-def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+def multiset_difference(a: DataFrame, b: DataFrame, surplus: str = "surplus") -> DataFrame:
     """Rows that ``a`` has more often (positive ``surplus``) or less often (negative); none: equal multisets.
 
-    One exchange with sums on the map side instead of a set difference either way.
+    One exchange with sums on the map side instead of a set difference either way. ``surplus`` names the result,
+    which may be no column of the tables.
     """
-    columns = [F.col(f"`{c}`") for c in a.columns]
-    both = a.withColumn("surplus", F.lit(1).cast("long")).unionByName(b.select(*columns).withColumn("surplus", F.lit(-1).cast("long")))
-    return both.groupBy(*columns).agg(F.sum("surplus").alias("surplus")).filter("surplus != 0")
+    if surplus in a.columns:
+        raise ValueError(f"a column {surplus!r} has the name of the result; give another")
+    side = lambda df, n: df.select(F.struct(*[F.col(f"`{c}`") for c in a.columns]).alias("row"), F.lit(n).cast("long").alias("n"))
+    both = side(a, 1).unionByName(side(b, -1))
+    found = both.groupBy("row").agg(F.sum("n").alias("n")).filter("n != 0")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in a.columns], F.col("n").alias(surplus))
 
 
 def checksum(df: DataFrame) -> DataFrame:

@@ -108,10 +108,16 @@ def binary_key_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies, CAST(sum(count(*)) OVER (ORDER BY l_orderkey, l_linenumber) - count(*) + 1 AS BIGINT) AS rank FROM lineitem GROUP BY 1, 2")
 def sorted_run_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-way merge of the runs that the return flags make; ranks say its order, so it needs no sort of its own."""
-    lines = load(spark, sf_dir, "lineitem")
-    runs = [lines.filter(F.col("l_returnflag") == f).select(*LINE_KEYS) for f in ("A", "N", "R")]
-    return merge.key_ranks(merge.union_of(runs), LINE_KEYS).select(*LINE_KEYS, "copies", "rank")
+    """The k-way merge of the runs that the return flags make, whatever these are, in one scan; ranks say its order, so it needs no sort of its own."""
+    return merge.key_ranks(load(spark, sf_dir, "lineitem").select(*LINE_KEYS), LINE_KEYS).select(*LINE_KEYS, "copies", "rank")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted multiset union of two runs and an empty one."""
+    lines = load(spark, sf_dir, "lineitem").select(*LINE_KEYS)
+    odd = F.coalesce(F.col("l_orderkey") % 2 == 1, F.lit(False))
+    return merge.merged_runs([lines.filter(odd), lines.filter(F.lit(False)), lines.filter(~odd)], LINE_KEYS)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
@@ -133,6 +139,14 @@ def sort_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_sorted(exchange.sorted_partitions(lines, LINE_KEYS), LINE_KEYS).select("rows", "violations", "overlaps", "ok")
 
 
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS overlaps, true AS ok FROM lineitem")
+def files_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files of a written sort, in the order of their names."""
+    path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    exchange.sorted_partitions(load(spark, sf_dir, "lineitem").select(*LINE_KEYS), LINE_KEYS).write.parquet(path)
+    return validate.validate_files(spark, path, LINE_KEYS).select("rows", "violations", "overlaps", "ok")
+
+
 @query(f"SELECT s.side, count(*) AS rows, {CENTS} AS cents, CAST(sum(octet_length(encode(l_returnflag))) AS BIGINT) AS bytes FROM lineitem, (VALUES ('in'), ('out')) s(side) GROUP BY 1")
 def checksum_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag")
@@ -184,6 +198,46 @@ def segments_snappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir, "snappy")
 
 
+@query(SEGMENT_SQL)
+def segments_lz4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir, "lz4")
+
+
+@query(SEGMENT_SQL)
+def segments_zlib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir, "zlib")
+
+
+@query(SEGMENT_SQL)
+def segments_lzo1x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir, "lzo1x")
+
+
+def _run_files(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").cast("binary").alias("key"), F.col("o_orderpriority").cast("binary").alias("value"))
+    # A path with its scheme, as Python tasks open it.
+    folder = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    return written(segments.write_run_files(segments.encode_segments(orders, n=8, codec=codec, block_bytes=16_384), folder))
+
+
+def _by_priority(records: DataFrame) -> DataFrame:
+    return records.groupBy(F.col("value").cast("string").alias("o_orderpriority")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("string").cast("long")).alias("keys"))
+
+
+@query(SEGMENT_SQL)
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as run files, and read again whole."""
+    paths = [r["path"] for r in _run_files(spark, sf_dir, "snappy").select("path").collect()]  # a file for each of 8 partitions
+    return _by_priority(segments.read_run_files(spark, paths, "snappy"))
+
+
+@query(SEGMENT_SQL)
+def ranged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as run files, fetched by ranges, and stitched where ranges cut records."""
+    return _by_priority(segments.decode_chunks(segments.read_ranges(segments.file_chunks(_run_files(spark, sf_dir, "none"), 4096))))
+
+
 # Reduction
 
 
@@ -197,6 +251,15 @@ def dedup_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.first_success(load(spark, sf_dir, "events"), "user_id", "event_id", "event_type", ["purchase", "signup"])
 
 
+@query("""WITH a AS (SELECT user_id, event_id % 7 AS attempt, min(event_id) FILTER (WHERE event_type = 'purchase') AS ok, max(event_id) FILTER (WHERE event_type = 'error') AS gone, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events GROUP BY 1, 2),
+    t AS (SELECT user_id, min(struct_pack(ok := ok, attempt := attempt, gone := gone)) AS f, CAST(sum(n) AS BIGINT) AS successes FROM a WHERE ok IS NOT NULL GROUP BY 1)
+    SELECT user_id, f.attempt AS winner, successes, coalesce(f.gone > f.ok, false) AS revoked FROM t""")
+def revoked_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First successes by the order of their reports, and which of them were taken back later."""
+    events = load(spark, sf_dir, "events").withColumn("attempt", F.col("event_id") % 7)
+    return reduce.first_success(events, "user_id", "attempt", "event_type", ["purchase"], "event_id", ["error"], "mark")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1, 2")
 def reduce_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
@@ -213,24 +276,25 @@ def reduce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generators and workloads
 
 
-@query("SELECT i AS row_id, upper(substr(md5('k:' || i), 1, 20)) AS key_hex, row_number() OVER (ORDER BY unhex(substr(md5('k:' || i), 1, 20))) AS rank, CAST(90 AS INTEGER) AS value_bytes FROM range(5000) t(i)")
+@query("SELECT i AS row_id, upper(substr(md5('k:' || i), 1, 20)) AS key_hex, row_number() OVER (ORDER BY unhex(substr(md5('k:' || i), 1, 20))) AS rank, CAST(90 AS INTEGER) AS value_bytes FROM range((SELECT count(*) FROM orders)) t(i)")
 def generated_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = generators.sort_records(spark, 5000)
+    """As many records as there are orders, so that the sort grows with the input."""
+    records = generators.sort_records(spark, load(spark, sf_dir, "orders").count())
     return merge.global_rank(records, ["key"]).select("row_id", F.hex("key").alias("key_hex"), "rank", F.octet_length("value").alias("value_bytes"))
 
 
 _HEX = "CAST(('0x' || substr(md5('{salt}:' || {x}), 1, 8)) AS BIGINT)"
 
 
-@query(f"""WITH r AS (SELECT i, 5 + {_HEX.format(salt='words', x='i')} % 21 AS n FROM range(2000) t(i)), d AS (SELECT i, unnest(range(n)) AS k FROM r)
+@query(f"""WITH r AS (SELECT i, 5 + {_HEX.format(salt='words', x='i')} % 21 AS n FROM range((SELECT count(*) FROM orders)) t(i)), d AS (SELECT i, unnest(range(n)) AS k FROM r)
     SELECT list_extract({generators.VOCABULARY!r}, 1 + {_HEX.format(salt='word', x='(i * 1000 + k)')} % {len(generators.VOCABULARY)}) AS word, count(*) AS n FROM d GROUP BY 1""")
 def generated_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.wordcount(generators.random_text(spark, 2000))
+    return reduce.wordcount(generators.random_text(spark, load(spark, sf_dir, "orders").count()))
 
 
-@query(f"SELECT i AS row_id, CAST(5 + {_HEX.format(salt='na', x='i')} % 6 AS INTEGER) AS key_bytes, CAST(20 + {_HEX.format(salt='nb', x='i')} % 41 AS INTEGER) AS value_bytes FROM range(2000) t(i)")
+@query(f"SELECT i AS row_id, CAST(5 + {_HEX.format(salt='na', x='i')} % 6 AS INTEGER) AS key_bytes, CAST(20 + {_HEX.format(salt='nb', x='i')} % 41 AS INTEGER) AS value_bytes FROM range((SELECT count(*) FROM orders)) t(i)")
 def generated_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.random_records(spark, 2000).select("row_id", F.octet_length("key").alias("key_bytes"), F.octet_length("value").alias("value_bytes"))
+    return generators.random_records(spark, load(spark, sf_dir, "orders").count()).select("row_id", F.octet_length("key").alias("key_bytes"), F.octet_length("value").alias("value_bytes"))
 
 
 _AT = f"(CAST((i * {{step}}) % {workloads.MODULUS} AS DOUBLE) / {workloads.MODULUS} - 0.5)"
@@ -264,6 +328,35 @@ def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.stats_summary(load(spark, sf_dir, "events"), "value", ["event_type"]).withColumns({c: F.round(c, 6) for c in ("average", "std_dev")})
 
 
+_CUT = "CASE WHEN {x} < 0 THEN ceil({x} * 100) ELSE floor({x} * 100) END / 100"
+
+
+@query(f"SELECT l_returnflag, count(l_quantity) AS n, {_CUT.format(x='avg(l_quantity)')} AS average, {_CUT.format(x='min(l_quantity)')} AS least, {_CUT.format(x='max(l_quantity)')} AS most, {_CUT.format(x='stddev_pop(l_quantity)')} AS std_dev FROM lineitem GROUP BY 1")
+def stats_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary statistics as reports print them: cut to two decimal places."""
+    return analytics.stats_summary(load(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"], places=2)
+
+
+@query("""WITH f AS (SELECT o_orderpriority, o_orderkey * 1000.0 / 1e6 AS mb, 0.5 + o_orderkey % 10 AS s FROM orders)
+    SELECT o_orderpriority, count(*) AS files, round(sum(mb), 6) AS mb, round(sum(mb) / sum(s), 6) AS throughput, round(avg(mb / s), 6) AS average_rate, round(stddev_pop(mb / s), 6) AS std_dev FROM f GROUP BY 1""")
+def io_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a storage benchmark over one file for each order."""
+    files = load(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_orderkey") * 1000).alias("bytes"), (0.5 + F.col("o_orderkey") % 10).alias("seconds"))
+    found = analytics.io_report(files, group=["o_orderpriority"])
+    return found.withColumns({c: F.round(c, 6) for c in ("mb", "throughput", "average_rate", "std_dev")})
+
+
+@query("SELECT 4 AS files, 4 * 300000 AS bytes, true AS timed FROM range(1)")
+def storage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A storage benchmark's own run: files written, read and removed; what was read, and whether all took time."""
+    folder = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    written(workloads.storage_files(spark, folder, 4, 300_000, "write"))
+    found = written(workloads.storage_files(spark, folder, 4, 300_000, "read"))
+    written(workloads.storage_files(spark, folder, 4, 300_000, "clean"))
+    return found.agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("bytes").cast("int").alias("bytes"), (F.min("seconds") > 0).alias("timed"))
+
+
 @query("""WITH t AS (SELECT o_custkey, count(*) AS launched, count(*) FILTER (WHERE o_orderstatus = 'F') // 3 AS failed, count(*) FILTER (WHERE o_orderpriority LIKE '1%') // 4 AS killed, max(o_totalprice) AS most FROM orders GROUP BY 1),
     b AS (SELECT *, CASE WHEN launched <> failed + killed THEN ((failed + killed) * 100) // (launched - failed - killed) END AS bad FROM t)
     SELECT o_custkey, launched, bad, CASE WHEN most > 450000 THEN 'fatal' WHEN coalesce(bad >= 10, true) THEN 'error' WHEN killed > 0 THEN 'warn' ELSE 'success' END AS status FROM b""")
@@ -328,3 +421,18 @@ def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream that has read the whole table."""
     stream = windows.tumbling_counts(windows.event_stream(spark, f"{sf_dir}/events.parquet*"), "1 hour", "event_type")
     return windows.drained(stream).select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS start FROM events),
+    n AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM n GROUP BY user_id, session""")
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.session_counts(load(spark, sf_dir, "events", instants=True), "30 minutes", "user_id")
+    return found.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+
+
+@query("WITH g AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events) SELECT user_id, epoch_us(ts) AS at_us, gap AS gap_us FROM g WHERE gap > 3600000000")
+def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of over an hour, by keyed state, of a stream that has read the whole table."""
+    found = windows.drained(windows.stream_gaps(windows.event_stream(spark, f"{sf_dir}/events.parquet*"), "user_id", "ts", 3600.0), mode="append")
+    return found.select("user_id", F.unix_micros("ts").alias("at_us"), F.round(F.col("gap") * 1_000_000).cast("long").alias("gap_us"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from quern.operators.exchange import sorted_partitions
 from quern.operators.validate import byte_totals, checksum, validate_files
 
 MAPS, SAMPLES = 10, 100
+#: Bytes that a storage task holds at once.
+PIECE = 1 << 20
 TOLERANCE = 0.1
 #: Steps of a plane-filling lattice of integers modulo 2 ** 31: the fractions of the plastic number's powers.
 MODULUS, STEP_X, STEP_Y = 1 << 31, 1621132907, 1223770913
@@ -44,6 +48,38 @@ def storage_round_trip(df: DataFrame, path: str, *columns: str) -> DataFrame:
     return byte_totals(df, *columns).select(F.col("rows").alias("rows_in"), F.col("bytes").alias("bytes_in")).join(F.broadcast(back)).withColumn("valid", (F.col("rows_in") == F.col("rows_out")) & (F.col("bytes_in") == F.col("bytes_out")))
 
 
+def storage_files(spark: SparkSession, path: str, files: int, size: int, mode: str) -> DataFrame:
+    """Write (``mode`` "write"), read ("read") or remove ("clean") ``files`` files of ``size`` bytes, a task for each: file, bytes, seconds.
+
+    ``analytics.io_report`` sums this up.
+    """
+    if mode not in ("write", "read", "clean"):
+        raise ValueError(f"mode {mode!r} is not 'write', 'read' or 'clean'")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for i in batch["id"]:
+                name, began, done = f"{folder}/io-{i:05d}.dat", time.monotonic(), 0
+                if mode == "write":
+                    with system.open_output_stream(name) as out:
+                        while done < size:
+                            done += out.write(bytes(min(PIECE, size - done)))
+                elif mode == "read":
+                    with system.open_input_stream(name) as data:
+                        while piece := data.read(PIECE):
+                            done += len(piece)
+                else:
+                    done = system.get_file_info(name).size
+                    system.delete_file(name)
+                yield pd.DataFrame({"file": [i], "bytes": [done], "seconds": [max(time.monotonic() - began, 1e-9)]})
+
+    return spark.range(0, files, 1, files).mapInPandas(run, "file long, bytes long, seconds double")
+
+
 def throughput(spark: SparkSession, df: DataFrame, path: str, files: int) -> dict:
     """Seconds and MB a second of writing and reading ``files`` files."""
     began = time.monotonic()

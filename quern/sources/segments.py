@@ -8,6 +8,7 @@ partition ends with the end-of-run mark.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -15,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.wire import END_OF_RUN, decode_records, encode_record, encode_vint
+from quern.functions.lzo import lzo1x_compress, lzo1x_decompress
+from quern.functions.wire import END_OF_RUN, RecordStream, decode_records, encode_record, encode_vint
 from quern.operators.exchange import sorted_partitions
 
 BLOCK_BYTES = 256 * 1024
-CODECS = ("none", "snappy", "lz4", "zlib")
+CODECS = ("none", "snappy", "lz4", "zlib", "lzo1x")
 _END = encode_vint(END_OF_RUN) * 2
 _HEADER = struct.Struct(">II")
 SEGMENT = "part int, block int, records long, raw_length long, part_length long, data binary"
@@ -30,6 +32,8 @@ def compress(data: bytes, codec: str) -> bytes:
         return data
     if codec == "zlib":
         packed = zlib.compress(data)
+    elif codec == "lzo1x":
+        packed = lzo1x_compress(data)
     elif codec in ("snappy", "lz4"):
         import pyarrow as pa
 
@@ -55,6 +59,8 @@ def decompress(data: bytes, codec: str) -> bytes:
             raise ValueError("the segment ends inside a block")
         if codec == "zlib":
             out.append(zlib.decompress(own))
+        elif codec == "lzo1x":
+            out.append(lzo1x_decompress(own, raw))
         else:
             import pyarrow as pa
 
@@ -120,3 +126,88 @@ def read_run_files(spark: SparkSession, paths: str | Sequence[str], codec: str =
                     yield pd.DataFrame({"path": path, "key": [k for k, _ in found], "value": [v for _, v in found]})
 
     return files.mapInPandas(run, "path string, key binary, value binary")
+
+
+def write_run_files(segments: DataFrame, path: str) -> DataFrame:
+    """Write each partition's blocks, in their order, as the run file ``part-<number>.run`` of a folder that all executors reach.
+
+    One row per file: path, part, records, bytes. A file has its name only once it is whole, so a task that is run
+    again replaces what it wrote before. Blocks pass one at a time.
+    """
+    own = segments.select("part", "block", "records", "data")
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        part = out = half = None
+        records = size = 0
+
+        def finished() -> pd.DataFrame:
+            out.close()
+            name = f"part-{part:05d}.run"
+            system.move(half, f"{folder}/{name}")
+            return pd.DataFrame({"path": [f"{path.rstrip('/')}/{name}"], "part": [part], "records": [records], "bytes": [size]})
+
+        for batch in batches:
+            for p, k, data in zip(batch["part"], batch["records"], batch["data"], strict=True):
+                if p != part:
+                    if out is not None:
+                        yield finished()
+                    part, records, size, half = int(p), 0, 0, f"{folder}/.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(half)
+                out.write(data)
+                records, size = records + int(k), size + len(data)
+        if out is not None:
+            yield finished()
+
+    return own.repartition(n, "part").sortWithinPartitions("part", "block").mapInPandas(run, "path string, part int, records long, bytes long")
+
+
+def file_chunks(files: DataFrame, chunk: int) -> DataFrame:
+    """The ranged reads that fetch whole files (path, bytes): path, chunk, offset, length."""
+    some = files.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / chunk).cast("long"))).alias("chunk"))
+    at = F.col("chunk") * F.lit(chunk)
+    return some.select("path", "chunk", at.alias("offset"), F.least(F.lit(chunk).cast("long"), F.col("bytes") - at).alias("length"))
+
+
+def read_ranges(requests: DataFrame) -> DataFrame:
+    """``requests`` (path, offset, length and others) with ``data``: the bytes of that range, fewer where the file ends; nothing else of the file is read."""
+    names = requests.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, rows in batch.groupby("path", sort=False):
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_file(name) as file:
+                    for i in range(len(rows)):
+                        row = rows.iloc[i : i + 1]
+                        yield row.assign(data=[file.read_at(int(row["length"].iloc[0]), int(row["offset"].iloc[0]))])[[*names, "data"]]
+
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in requests.schema)
+    return requests.mapInPandas(run, f"{kinds}, data binary")
+
+
+def decode_chunks(chunks: DataFrame) -> DataFrame:
+    """path, key, value of the records of uncompressed runs that come in chunks (path, chunk, data), cut anywhere.
+
+    Each file's chunks pass in their order, one at a time; a record that is split over chunks is stitched.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, stream = None, RecordStream()
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["data"], strict=True):
+                if path != last:
+                    stream.close()
+                    last, stream = path, RecordStream()
+                if found := stream.feed(bytes(data)):
+                    yield pd.DataFrame({"path": path, "key": [k for k, _ in found], "value": [v for _, v in found]})
+        stream.close()
+
+    return chunks.select("path", "chunk", "data").repartition(n, "path").sortWithinPartitions("path", "chunk").mapInPandas(run, "path string, key binary, value binary")

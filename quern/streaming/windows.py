@@ -40,15 +40,15 @@ def stream_gaps(events: DataFrame, key: str, ts: str, max_diff: float) -> DataFr
         times = sorted(t for b in batches for t in b[ts])
         out = []
         for t in times:
-            now = t.timestamp()
-            if last is not None and now - last > max_diff:
-                out.append((keys[0], t, now - last))
+            now = t.value // 1000  # microseconds: whole numbers, so that gaps are exact
+            if last is not None and now - last > max_diff * 1_000_000:
+                out.append((keys[0], t, (now - last) / 1_000_000))
             last = now if last is None else max(last, now)
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=[key, ts, "gap"])
 
-    return events.select(key, ts).filter(F.col(ts).isNotNull()).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, gap double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, ts).filter(F.col(ts).isNotNull()).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, gap double", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str = "complete", name: str = "drained") -> DataFrame:

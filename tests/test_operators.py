@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.functions import wire
+from quern.functions import lzo, wire
 from quern.functions.durations import duration_seconds
 from quern.operators import exchange, merge, ordering, reduce, validate
 from quern.plans import analytics, workloads
@@ -232,3 +232,132 @@ def test_gaps_and_snippets(spark):
     dated = lines.withColumn("ts", F.col("t").cast("timestamp"))
     assert [(r.row, r.gap) for r in analytics.log_gaps(dated, "file", "row", "ts").orderBy("row").collect()] == [(3, 11), (5, 3578)]
     assert [r.row for r in analytics.log_snippet(lines, "file", "row", F.col("line").contains("job1"), 1).orderBy("row").collect()] == [2, 3, 4, 5]
+
+
+def lzo_blocks():
+    """Blocks by hand, each with an instruction that the encoder does not use."""
+    literals = bytes([17 + 8]) + b"abcdefgh"
+    far = bytes(range(256)) * 80
+    return [
+        (literals + bytes([0b01_1_011_10, 0]) + b"XY" + END_LZO, b"abcdefghefghXY"),  # 4 bytes, 4 back, 2 literals
+        (literals + bytes([0b1_10_111_00, 0]) + END_LZO, b"abcdefghabcdefg"),  # 7 bytes, 8 back
+        (literals + bytes([0b01_0_000_01, 0]) + b"Z" + bytes([0b0000_01_00, 1]) + END_LZO, b"abcdefghhhhZgh"),  # 2 bytes after a literal
+        (bytes([0]) + bytes((len(far) - 19) // 255) + bytes([(len(far) - 19) % 255 + 1]) + far + bytes([0b0000_00_00, 0]) + END_LZO, far + far[-2049:-2046]),  # 3 bytes from 2,049 on
+        (bytes([0]) + bytes((len(far) - 19) // 255) + bytes([(len(far) - 19) % 255 + 1]) + far + bytes([0b0001_0_011, 0b100, 0]) + END_LZO, far + far[-16385:-16380]),  # 5 bytes from 16,384 on
+    ]
+
+
+END_LZO = b"\x11\x00\x00"
+
+
+def test_lzo_instructions():
+    for block, content in lzo_blocks():
+        assert lzo.lzo1x_decompress(block, len(content)) == content
+    for bad in (b"", b"\x19abc", bytes([17 + 4]) + b"abcd" + bytes([0b01_0_111_00, 9]) + END_LZO, END_LZO + b"x"):
+        with pytest.raises(ValueError):
+            lzo.lzo1x_decompress(bad)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=300), st.sampled_from([b"abcd" * 90, b"\0" * 3000, bytes(range(256))])), max_size=8))
+def test_lzo_round_trip(parts):
+    data = b"".join(parts)
+    assert lzo.lzo1x_decompress(lzo.lzo1x_compress(data), len(data)) == data
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=40), st.binary(max_size=300)), max_size=12), st.integers(1, 50))
+def test_split_records_are_stitched(records, step):
+    data = b"".join(wire.encode_record(k, v) for k, v in records) + wire.encode_vint(-1) * 2 + b"after the end"
+    stream, out = wire.RecordStream(), []
+    for at in range(0, len(data), step):
+        out += stream.feed(data[at : at + step])
+    stream.close()
+    assert out == records
+    cut = wire.RecordStream()
+    cut.feed(wire.encode_record(b"key", b"value")[:-1])
+    with pytest.raises(ValueError):
+        cut.close()
+
+
+def test_run_files_and_ranged_reads(spark, tmp_path):
+    rows = [(bytearray(b"k%05d" % (i * 37 % 900)), bytearray(b"v" * (i % 70))) for i in range(900)]
+    made = segments.encode_segments(spark.createDataFrame(rows, "key binary, value binary"), n=3, block_bytes=700)
+    files = segments.write_run_files(made, f"file://{tmp_path}/runs").cache()
+    assert files.agg(F.sum("records")).first()[0] == 900 and {p.name for p in (tmp_path / "runs").iterdir() if p.suffix == ".run"} == {f"part-{r.part:05d}.run" for r in files.collect()}
+    whole = segments.read_run_files(spark, f"file://{tmp_path}/runs/*.run").collect()
+    some = segments.decode_chunks(segments.read_ranges(segments.file_chunks(files, 101))).collect()
+    count = lambda found: Counter((bytes(r.key), bytes(r.value)) for r in found)
+    assert count(whole) == count(some) == Counter((bytes(k), bytes(v)) for k, v in rows)
+    one = spark.createDataFrame([(files.first().path, 3, 5, "x")], "path string, offset long, length long, other string")
+    path = files.first().path.removeprefix("file://")
+    with open(path, "rb") as f:
+        assert bytes(segments.read_ranges(one).first().data) == f.read()[3:8]
+    files.unpersist()
+
+
+def test_success_that_is_taken_back(spark):
+    rows = [("t", "a1", 1, "ok"), ("t", "a2", 2, "failed"), ("u", "b2", 1, "ok"), ("u", "b1", 2, "ok"), ("u", "b1", 3, "killed"), ("w", "c", 5, "failed")]
+    events = spark.createDataFrame(rows, "task string, attempt string, at int, status string")
+    how = dict(task="task", attempt="attempt", status="status", succeeded=["ok"], order="at", revoked=["failed", "killed"])
+    assert {tuple(r) for r in reduce.first_success(events, **how).collect()} == {("t", "a1", 1), ("u", "b2", 2)}
+    bad = events.unionByName(spark.createDataFrame([("t", "a1", 9, "killed")], events.schema))
+    with pytest.raises(Exception, match="taken back"):
+        reduce.first_success(bad, **how).collect()
+    assert {(r.task, r.revoked) for r in reduce.first_success(bad, **how, on_revoked="mark").collect()} == {("t", True), ("u", False)}
+
+
+INTERNAL = ["run", "_start", "_range", "part", "row", "n", "key", "k0", "first", "last", "file", "before", "salt", "own", "rows", "keys", "task", "attempt", "place", "s", "begins", "number", "line", "own_file"]
+
+
+def test_columns_may_have_any_name(spark):
+    data = [(i % 2, i, "ab"[i % 3 == 0], float(i)) for i in range(12)]
+    df = spark.createDataFrame(data, "g int, i int, k string, v double").withColumns({c: F.lit(5) for c in INTERNAL})
+    found = analytics.rollup_runs(df, ["g"], ["i"], "k", ["row"], ["run", "part"], run="number_of_run").collect()
+    assert all(r.sum_run == 5 * r.n == r.sum_part and r.avg_row == 5 for r in found) and sum(r.n for r in found) == 12
+    with pytest.raises(ValueError):
+        analytics.rollup_runs(df, ["run"], ["i"], "k")
+    assert analytics.rollup_runs(df, ["g"], ["i"], "k", sums=["run"]).agg(F.sum("sum_run")).first()[0] == 60
+    snippet = analytics.log_snippet(df, "g", "i", F.col("i") == 4, 2)
+    assert sorted(r.i for r in snippet.collect()) == [2, 4, 6] and snippet.columns == df.columns
+    assert merge.global_rank(df, ["part", "i"]).columns == [*df.columns, "rank", "dense_rank"]
+    assert {r.copies for r in merge.key_ranks(df, ["part", "row"]).collect()} == {12}
+    with pytest.raises(ValueError):
+        merge.global_rank(df.withColumn("rank", F.lit(1)), ["i"])
+    more = df.withColumn("surplus", F.lit(1))
+    with pytest.raises(ValueError):
+        validate.multiset_difference(more, more)
+    assert validate.multiset_difference(more, more.limit(11), "left").count() == 1
+    assert validate.validate_sorted(exchange.sorted_partitions(df, ["part", "i"]), ["part", "i"]).first().ok
+
+
+def test_runs_and_gaps_across_ranges(spark):
+    # One group that fills all ranges: what a range begins with goes on from the one before.
+    keys = ["a"] * 50 + ["b"] * 3 + ["a"] * 60 + [None] * 40
+    df = spark.createDataFrame([(g, i, k, 1) for g in ("x", None) for i, k in enumerate(keys)], "g string, i int, k string, v int").repartition(5)
+    found = sorted((str(r.g), r.run, r.k, r.n, r.sum_v) for r in analytics.rollup_runs(df, ["g"], ["i"], "k", sums=["v"]).collect())
+    assert found == [(g, n, k, c, c) for g in ("None", "x") for n, (k, c) in enumerate([("a", 50), ("b", 3), ("a", 60), (None, 40)], 1)]
+    whole = analytics.rollup_runs(df.filter("g = 'x'"), [], ["i"], "k").orderBy("run").collect()
+    assert [(r.run, r.k, r.n) for r in whole] == [(1, "a", 50), (2, "b", 3), (3, "a", 60), (4, None, 40)]
+    lines = df.withColumn("ts", F.timestamp_seconds(F.col("i") * F.when(F.col("i") > 100, 20).otherwise(5)))
+    assert analytics.log_gaps(lines, "g", "i", "ts").count() == 2 * (len(keys) - 101)
+
+
+def test_range_partition_with_many_splits(spark):
+    splits = list(range(0, 9000, 3))
+    df = spark.createDataFrame([(x,) for x in (-5, 0, 1, 3, 4499, 8996, 8997, 10**6, None)], "k long")
+    found = [(r.k, r.p) for r in df.select("k", exchange.range_partition(F.col("k"), splits).alias("p")).collect()]
+    assert found == [(k, 0 if k is None else sum(s <= k for s in splits)) for k, _ in found]
+    assert df.select(exchange.range_partition(F.col("k"), []).alias("p")).distinct().count() == 1
+
+
+def test_truncation_and_storage_files(spark, tmp_path):
+    df = spark.createDataFrame([(1.239,), (-1.239,), (5.0,), (None,)], "x double")
+    assert [r.y for r in df.select(analytics.truncated(F.col("x")).alias("y")).collect()] == [1.23, -1.23, 5.0, None]
+    for mode in ("write", "read"):
+        found = workloads.storage_files(spark, f"file://{tmp_path}/io", 3, 2_500_000, mode).cache()
+        assert {r.bytes for r in found.collect()} == {2_500_000} and analytics.io_report(found).first().files == 3
+    workloads.storage_files(spark, f"file://{tmp_path}/io", 3, 0, "clean").collect()
+    assert not list((tmp_path / "io").glob("*.dat"))
+    with pytest.raises(ValueError):
+        workloads.storage_files(spark, "file:///tmp", 1, 1, "other")
