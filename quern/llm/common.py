@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.sources.shared import shared_dir, written  # noqa: F401
 
@@ -20,6 +21,53 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Most bytes of values that a side may hold to be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of a table, counted in bytes, are few enough to broadcast it."""
+    each = F.lit(16)
+    for field in df.schema.fields:
+        own = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            each += F.coalesce(F.octet_length(own), F.lit(0)) + 16
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            each += F.coalesce(F.octet_length(F.to_json(F.struct(own))), F.lit(0)) + 16
+        else:
+            each += 8
+    return (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= most
+
+
+#: Rows of one key from which on a join spreads them, and the most keys that can have so many.
+HUB_ROWS, HUBS = 256, 100_000
+
+
+def hubs(found: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """The keys of ``found`` (a row for each) that have very many rows by its column ``n``, with the salts they need; None: there are none.
+
+    As no key counts that has less than 1 / HUBS of all rows, there are never more than HUBS of them.
+    """
+    total, most = found.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(HUB_ROWS, total // HUBS)
+    if most <= limit:
+        return None
+    return written(found.filter(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("salts")))
+
+
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``found`` has for their keys; rows of a hot key meet a copy of its row in each of as many tasks as it has salts.
+
+    ``by`` is a column of ``rows`` that spreads them.
+    """
+    if hot is None:
+        return rows.join(found, keys, how)
+    salts = F.coalesce("salts", F.lit(1))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    found = found.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return rows.join(found, [*keys, "salt"], how).drop("salt")
+
+
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The runs of equal keys in a partition that is sorted by them; only one run is held."""
     kept: list[pd.DataFrame] = []
