@@ -30,7 +30,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|pwd|secret|token|api_?key|apikey|private_?key|access_?key|auth(?:orization)?\b|bearer|credential|signature", re.ASCII | re.IGNORECASE)
 SENSITIVE_PARTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "private", "access", "auth", "bearer", "credential", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST},}}")
 #: Characters after a sensitive word in which a candidate may start, and those around it that prime the compressor.
 REACH, AROUND = 64, 1024
 #: Added bytes from which on a candidate is new, as a share of what random characters of its alphabet need.
@@ -129,14 +130,15 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float =
     out: list[tuple[int, int, str]] = []
     done, at, pairs = 0, 0, None
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end())):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
+        last = word.end() + REACH
+        b = max(done, word.end())
+        # Only starts are searched for, and only within reach; a candidate is then taken to its own end.
+        while b <= last and (start := CANDIDATE.search(text, b, last + LEAST)):
+            a, b = CANDIDATE.match(text, start.start()).span()
             done = b
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            own = m[0]
+            own = text[a:b]
             if at < len(taken) and taken[at][0] < b:
                 continue
             if pairs is None:  # of the text without its candidates, or a text full of keys would make keys ordinary
@@ -177,7 +179,10 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[secret]", **how) -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mask``; overlapping spans become one."""
+    """``docs`` with every span of its texts replaced by ``mask``; overlapping spans become one.
+
+    Null and empty texts stay as they are, and so does an empty table; other columns are kept.
+    """
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
