@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating stars (large star, small star).
 
-Each round is two aggregations and two joins on node ids; links are never gathered in one place, and
-every round's table is written, so the plan stays short and lost executors cost one round at most.
+Each round is two aggregations and two joins on node ids; links are never gathered in one place, a node
+with very many links is spread over tasks, and every round's table is written, so the plan stays short and
+lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hubs, spread_join, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,10 +23,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        hot = hubs(least, ["u"])
+        stars = lambda rows, least: spread_join(rows, least, ["u"], hot, "v")  # noqa: B023, E731
+        large = stars(both, least.select("u", F.least("u", "m").alias("m"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # No node has more links now than before, so the same nodes are spread.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = stars(large, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _mark(now)
         if mark == before:

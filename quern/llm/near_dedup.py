@@ -1,15 +1,18 @@
 """Near-duplicate documents by SetSketch registers over word shingles.
 
-1. Each document's set of shingles becomes 64-bit hashes; documents with equal sets are one class.
+1. Each document's set of shingles becomes 64-bit hashes; documents with equal sets are one class. Sets are
+   compared by these hashes from here on: two different shingles share one with probability 5e-20, so that
+   a link is decided wrongly only where many of a pair's shingles happen to.
 2. A class' sketch has registers of exponentially spaced, truncated minima: for each register the
    smallest of its shingles' exponential values, as a power of ``BASE``. Bands of registers are keys.
 3. Classes that share a key with the key's smallest class are candidates of one family; families
    are the connected components of these stars, so no bucket's pairs are ever listed.
-4. A family's members meet in blocks with a few common pivots. In a block, register counts
+4. A family's members meet in blocks with a few common pivots; members with a common key share a block
+   where it has room, and blocks are bounded in members and in bytes. In a block, register counts
    (larger, smaller, equal) give each pair's similarity by maximum likelihood; pairs that may reach the
    threshold are confirmed on full sets, unless already linked through others.
-5. Large families have many blocks. Members that aren't yet linked to their family's largest part
-   meet all blocks, so that no pair of the family stays undecided.
+5. Large families have many blocks. Blocks with members that aren't yet linked to their family's largest
+   part meet the blocks that share a band key with these, so that no candidate pair stays undecided.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, written
+from .common import fits, groups, hubs, spread_join, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -35,8 +38,8 @@ BASE = 1.001
 BLOCK, WIDE_BLOCK, PIVOTS = 64, 512, 4
 #: Pairs whose likelihood at the threshold is lower than the greatest by more than this are not confirmed (5 standard deviations).
 SLACK = 12.5
-#: Member lists up to this many rows (16 bytes each) are broadcast to the documents, longer ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of full sets in a block, as far as whole sets allow.
+BLOCK_BYTES = 8 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -185,9 +188,9 @@ def links(sets: list[np.ndarray], registers: np.ndarray, percent: int, known: Un
     return out
 
 
-def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers (both null for empty sets)."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, digest of the set, registers (both null for empty sets) of ``docs`` (doc_id, key, text)."""
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,14 +199,13 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 out = []
                 for own in shingle_sets(list(part["text"])):
                     out.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), registers_of(own).tobytes()) if len(own) else (0, None, None))
-                yield pd.DataFrame(out, columns=["n_shingles", "digest", "registers"]).assign(doc_id=part["doc_id"].array)
+                yield pd.DataFrame(out, columns=["n_shingles", "digest", "registers"]).assign(doc_id=part["doc_id"].array, key=part["key"].array)
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, registers binary")
+    return docs.mapInPandas(run, f"{kinds}, n_shingles long, digest binary, registers binary")
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """id, family: classes connected by shared band keys; classes that share none are left out."""
+def band_table(classes: DataFrame) -> DataFrame:
+    """key, id of the bands that two or more classes share."""
     kind = classes.schema["id"].dataType.simpleString()
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,10 +213,20 @@ def families(classes: DataFrame) -> DataFrame:
             keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch["registers"]]
             yield pd.DataFrame({"key": np.concatenate(keys), "id": batch["id"].repeat(BANDS).array}) if keys else pd.DataFrame({"key": [], "id": []})
 
-    # Written once: both the heads and their members come from it.
-    keys = written(classes.select("id", "registers").mapInPandas(keyed, f"key long, id {kind}"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head != last").select("key", "head")
-    return components(keys.join(heads, "key").filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))).select("id", F.col("component").alias("family"))
+    return written(classes.select("id", "registers").mapInPandas(keyed, f"key long, id {kind}"))
+
+
+def families(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes connected by shared band keys (id, family, lead, crowd), and the shared keys of each (key, id); classes that share none are left out.
+
+    ``lead`` is one of a class' shared keys, ``crowd`` how many classes have that key.
+    """
+    keys = band_table(classes)
+    heads = written(keys.groupBy("key").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")).filter("n > 1"))
+    shared = written(spread_join(keys, heads, ["key"], hubs(heads, ["key"]), "id"))
+    found = components(shared.filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    leads = shared.groupBy("id").agg(F.min_by("key", F.struct(-F.col("n"), "key")).alias("lead"), F.max("n").alias("crowd"))
+    return found.join(leads, "id").select("id", F.col("component").alias("family"), "lead", "crowd"), shared.select("key", "id")
 
 
 def confirmed(tiles: DataFrame, percent: int, kind: str) -> DataFrame:
@@ -239,8 +251,11 @@ def confirmed(tiles: DataFrame, percent: int, kind: str) -> DataFrame:
     return dealt.mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def linked(docs: DataFrame, members: DataFrame, percent: int, block: int, wide_block: int) -> DataFrame:
-    """Links that connect exactly what the pairs of similar members of each family connect."""
+def linked(docs: DataFrame, members: DataFrame, shared: DataFrame, percent: int, block: int, wide_block: int) -> DataFrame:
+    """Links that connect exactly what the pairs of similar members of each family connect.
+
+    ``members``: id, doc_id, key, n_shingles, family, lead, crowd; ``shared``: key, id.
+    """
     kind = members.schema["id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,63 +265,93 @@ def linked(docs: DataFrame, members: DataFrame, percent: int, block: int, wide_b
                 sets = list(shingle_sets(list(part["text"])))
                 yield part.drop(columns="text").assign(hashes=[s.tobytes() for s in sets], registers=[registers_of(s).tobytes() for s in sets])
 
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    placed = written(members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
-    small = placed.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(placed) if small else placed, docs["doc_id"] == placed["id"]).select("id", "family", "size", "blocks", "text")
-    full = written(texts.mapInPandas(hashed, f"id {kind}, family {kind}, size long, blocks int, hashes binary, registers binary"))
-    x = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    blocks = lambda n: F.ceil(F.greatest(F.col("size") / n, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    placed = written(members.join(sizes, "family").withColumns({"blocks": blocks(block), "wide": blocks(wide_block), "each": F.col("bytes") / F.col("size")}).drop("n_shingles", "size", "bytes"))
+    side = placed.withColumnsRenamed({"doc_id": "own_id", "key": "own_key"})
+    texts = docs.join(F.broadcast(side) if fits(side) else side, (F.col("doc_id") == F.col("own_id")) & (F.col("key") == F.col("own_key")))
+    # Repeated rows are one member.
+    texts = texts.select("id", "family", "lead", "crowd", "each", "blocks", "wide", "text").dropDuplicates(["id"])
+    full = written(texts.mapInPandas(hashed, f"id {kind}, family {kind}, lead long, crowd long, each double, blocks int, wide int, hashes binary, registers binary"))
+
+    def dealt(n: str, most: int) -> Column:
+        """A block among ``n``: members with a common lead share one, unless they are too many for it."""
+        parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("crowd") / most, F.col("crowd") * F.col("each") / BLOCK_BYTES))).cast("long")
+        return F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("id"), parts)), F.col(n)).cast("int")
+
     large = full.filter("blocks > 1")
     pivots = large.groupBy("family", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(F.min("id").alias("id"))
     spread = large.join(pivots.select("family", "id"), ["family", "id"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     fixed = [F.lit(0).alias("y"), F.lit(True).alias("own"), F.lit(None).cast(kind).alias("part")]
     base = ["family", "x", "id", "hashes", "registers"]
-    first = written(confirmed(full.withColumn("x", x).select(*base, *fixed).unionByName(spread.select(*base, *fixed)), percent, kind))
+    first = written(confirmed(full.withColumn("x", dealt("blocks", block)).select(*base, *fixed).unionByName(spread.select(*base, *fixed)), percent, kind))
     if not large.limit(1).count():
         return first
     parts = components(first)
     now = large.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     shares = now.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
     main = shares.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    now = written(now.join(main, "family").withColumn("rest", F.col("part") != F.col("main")))
-    counts = now.filter("rest").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / wide_block).cast("int").alias("rest_blocks"))
-    now = now.join(counts, "family").withColumn("wide", F.ceil(F.col("size") / wide_block).cast("int"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    rest = now.filter("rest").withColumn("x", of("rest_blocks", 2)).withColumn("y", upto("wide")).withColumn("own", F.lit(True))
-    others = now.withColumn("y", of("wide", 3)).withColumn("x", upto("rest_blocks")).withColumn("own", F.lit(False))
+    now = written(now.join(main, "family").withColumn("rest", F.col("part") != F.col("main")).withColumn("b", dealt("wide", wide_block)))
+    # Only blocks with a band key in common meet: a rest member of the one and any member of the other.
+    places = written(shared.join(now.select("id", "family", "b", "rest"), "id").groupBy("family", "key", "b").agg(F.max("rest").alias("rest")))
+    tiles = written(places.filter("rest").select("family", "key", F.col("b").alias("x")).join(places.select("family", "key", F.col("b").alias("y")), ["family", "key"]).select("family", "x", "y").distinct())
+    rest = now.filter("rest").withColumn("x", F.col("b")).join(tiles, ["family", "x"]).withColumn("own", F.lit(True))
+    others = now.withColumn("y", F.col("b")).join(tiles, ["family", "y"]).withColumn("own", F.lit(False))
     columns = [*base, "y", "own", "part"]
     return first.unionByName(written(confirmed(rest.select(columns).unionByName(others.select(columns)), percent, kind)))
 
 
+def _found(docs: DataFrame, percent: int, block: int, wide_block: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, kept of each row of ``docs`` (doc_id, key, text)."""
+    seen = written(sketched(docs))
+    some = seen.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # A class is a set of shingles; rows that share an id but not a text are in different classes.
+    one = F.min(F.struct("doc_id", "key")).alias("one")
+    classes = written(some.groupBy(F.col("digest").alias("id")).agg(one, F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")))
+    found, shared = families(classes)
+    members = written(classes.select("id", "one.doc_id", "one.key", "n_shingles").join(found, "id"))
+    parts = components(linked(docs, members, shared, percent, block, wide_block))
+    named = classes.select("id", F.col("one.doc_id").alias("least"), "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    # Components with very many classes are spread as well.
+    sized = written(least)
+    of_class = spread_join(named.select("id", "component", "n"), sized.select("component", "component_id"), ["component"], hubs(sized, ["component"], "classes"), "id")
+    of_class = written(of_class.select(F.col("id").alias("digest"), "component_id", "n"))
+    joined = spread_join(seen.select("doc_id", "key", "n_shingles", "digest"), of_class.drop("n"), ["digest"], hubs(of_class, ["digest"]), "doc_id", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return joined.select("doc_id", "key", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    """A row's id, its text, and a key of the text, which tells rows that share an id apart."""
+    own = F.col(f"`{text}`")
+    return [F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(own).alias("key"), own.alias("text")]
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, wide_block: int = WIDE_BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * shared >= percent * united shingles. Null and empty texts have no
     shingles and are linked with nothing. Rows without an id are not compared: their component is null and they
-    are kept. Repeated rows carry the same result, all of them. An empty table gives no rows; other columns
-    are ignored.
+    are kept. Repeated rows carry the same result, all of them; rows that share an id but not a text are
+    judged each by its own. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    seen = written(sketched(docs, "doc_id", "text"))
-    some = seen.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("registers", "doc_id").alias("registers")))
-    found = components(linked(docs, families(classes), percent, block, wide_block))
-    named = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; of rows equal in id and text one stays."""
-    found = near_dedup(docs, doc_id, text, **how)
-    dropped = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct())
-    small = dropped.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(dropped) if small else dropped, docs[f"`{doc_id}`"] == F.col("_dropped"), "left_anti")
-    again = written(docs.groupBy(F.col(f"`{doc_id}`").alias("_again")).count().filter("count > 1").select("_again"))
-    few = again.count()
-    if not few:
-        return kept
-    again = F.broadcast(again) if few <= BROADCAST_ROWS else again
-    same = kept[f"`{doc_id}`"].eqNullSafe(F.col("_again"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+    return _found(docs.select(*_keyed(docs, doc_id, text)), percent, block, wide_block).drop("key")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, wide_block: int = WIDE_BLOCK) -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; of rows equal in id and text one stays.
+
+    Null and empty texts and rows without an id stay; an empty table stays empty.
+    """
+    rows = docs.select(F.struct("*").alias("row"), *_keyed(docs, doc_id, text)[:2])
+    found = written(_found(docs.select(*_keyed(docs, doc_id, text)), percent, block, wide_block))
+    # Keys and ids in structs of their own, which no column of ``docs`` can clash with.
+    gone = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct())
+    kept = rows.join(F.broadcast(gone) if fits(gone) else gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    again = written(found.filter("kept").groupBy(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key")).count().filter("count > 1").drop("count"))
+    if not again.limit(1).count():
+        return kept.select("row.*")
+    side = F.broadcast(again) if fits(again) else again
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key"))
+    return kept.join(side, same, "left_anti").select("row.*").unionByName(kept.join(side, same, "left_semi").groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row.*"))

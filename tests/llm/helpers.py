@@ -8,7 +8,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977} filler{i % 31}" for i in range(60_000))
 
 #: Columns that operators might use inside.
-EXTRA = {c: "x" for c in ("id", "row", "key", "n", "p", "size", "spans", "digest", "keep_id", "kept", "component", "score", "label", "bucket", "hashes", "copies")}
+EXTRA = {c: "x" for c in ("id", "row", "key", "n", "p", "size", "spans", "digest", "keep_id", "kept", "component", "score", "label", "bucket", "hashes", "copies", "_dropped", "_again", "_row", "gone_id", "gone_key", "again_id", "again_key", "doc", "taken", "salt", "salts", "lead", "family", "component_id", "name", "n_links", "b", "x")}
 
 
 def rows():

@@ -92,3 +92,18 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
     assert found == components({x for e in real for x in e}, real)
     assert spark_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    words = [f"w{k}" for k in range(100)]
+    data = [(1, " ".join(words), None, None, None), (2, " ".join(words[:99]), None, None, None), (2, "quite another text of its own", None, None, None), (3, "quite another text of its own", None, None, None)]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, data=data)).collect())
+    assert found == [(1, 96, 1, True), (2, 2, 2, True), (2, 95, 1, False), (3, 2, 2, False)]
+    assert sorted((r.doc_id, len(r.text)) for r in representatives(frame(spark, extra=True, data=data)).collect()) == [(1, len(data[0][1])), (2, len(data[2][1]))]
+
+
+def test_hubs_are_spread(spark):
+    rng = random.Random(1)
+    edges = [(rng.choice([0, 100_000]), k) for k in range(1, 3000)] + [(5, 100_000)]
+    found = {r.id: r.component for r in spark_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == components({x for e in edges for x in e}, edges)
