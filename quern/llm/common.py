@@ -68,22 +68,27 @@ def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFra
     return rows.join(found, [*keys, "salt"], how).drop("salt")
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys in a partition that is sorted by them; only one run is held."""
+def groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int | None = None) -> Iterator[pd.DataFrame]:
+    """The runs of equal keys in a partition that is sorted by them, cut into pieces of ``most`` rows; only one piece is held."""
     kept: list[pd.DataFrame] = []
-    last = None
+    last, n = None, 0
+
+    def out() -> pd.DataFrame:
+        return pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+
     for batch in batches:
         if not len(batch):
             continue
         values = batch[keys]
         starts = [0, *((values != values.shift()).any(axis=1).to_numpy().nonzero()[0][1:]), len(batch)]
         for a, b in zip(starts, starts[1:], strict=False):
-            part = batch.iloc[a:b]
-            key = tuple(part[keys].iloc[0])
-            if kept and key != last:
-                yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
-                kept = []
-            kept.append(part)
-            last = key
+            key = tuple(values.iloc[a])
+            while a < b:
+                if kept and (key != last or n == most):
+                    yield out()
+                    kept, n = [], 0
+                part = batch.iloc[a : b if most is None else min(b, a + most - n)]
+                kept.append(part)
+                last, n, a = key, n + len(part), a + len(part)
     if kept:
-        yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+        yield out()

@@ -1,6 +1,8 @@
 """Near-duplicate embeddings by PCA-ordered, tiled comparison.
 
-Vectors with equal labels are dealt into blocks, and each two blocks of a label are a tile. In a
+Vectors with equal labels are dealt into blocks in the order of their first principal coordinate, and two
+blocks of a label are a tile. A block keeps the ranges of its leading coordinates and its largest suffix
+norm: a tile whose products cannot reach the threshold within these is never made. In a
 tile, unit vectors are turned so that the leading dimensions carry most of their products: products
 are summed over leading dimensions first, what is left is at most the product of the suffixes'
 norms, and a pair is dropped as soon as both together cannot reach the threshold. The turn is
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, written
+from .common import fits, groups, hubs, spread_join, written
 from .components import components
 from .near_dedup import Union
 
@@ -33,6 +35,8 @@ LEADING = (8, 16, 32, 64, 128, 256, 512)
 #: Rows of a tile compared at once.
 CHUNK = 128
 SLACK = 1e-9
+#: The same for whole tiles, whose bound goes by angles.
+TILE_SLACK = 1e-6
 
 
 def turn(sample: np.ndarray) -> np.ndarray:
@@ -92,6 +96,25 @@ def usable(vector: str, label: str):
     return F.col(label).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, odd) & F.exists(vector, lambda x: x != 0)
 
 
+def tiles_of(blocks: DataFrame, threshold: float) -> DataFrame:
+    """x, y (x <= y): the pairs of blocks of one label whose vectors may reach the threshold.
+
+    Two unit vectors are no nearer than their first coordinates' angles are, and their product is at most what
+    the ranges of the leading coordinates and the suffix norms allow.
+    """
+    own = blocks.select("label", "d", "block", F.zip_with("low", "high", lambda a, b: F.struct(a.alias("low"), b.alias("high"))).alias("box"), "tail")
+    x = own.select("label", "d", F.col("block").alias("x"), F.col("box").alias("box_x"), F.col("tail").alias("tail_x"))
+    y = own.select("label", "d", F.col("block").alias("y"), F.col("box").alias("box_y"), F.col("tail").alias("tail_y"))
+    angle = lambda c: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
+    a, b = F.get("box_x", F.lit(0)), F.get("box_y", F.lit(0))
+    apart = F.greatest(angle(a["high"]) - angle(b["low"]), angle(b["high"]) - angle(a["low"]), F.lit(0.0))
+    each = F.zip_with("box_x", "box_y", lambda p, q: F.greatest(p["low"] * q["low"], p["low"] * q["high"], p["high"] * q["low"], p["high"] * q["high"]))
+    most = F.aggregate(each, F.col("tail_x") * F.col("tail_y"), lambda s, v: s + v)
+    # A few numbers for each block of vectors.
+    met = x.join(F.broadcast(y) if fits(y) else y, ["label", "d"]).filter(F.col("x") <= F.col("y"))
+    return met.filter((F.cos(apart) >= threshold - TILE_SLACK) & (most >= threshold - TILE_SLACK)).select("x", "y")
+
+
 def near_embeddings(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -112,26 +135,39 @@ def near_embeddings(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         for d, own in chosen["embedding"].groupby(chosen["embedding"].map(len)):
             axes[int(d)] = turn(unit(np.stack(own.to_numpy()).astype(np.float64)))
     shared = spark.sparkContext.broadcast(axes)
-    counts = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = classes.withColumn("d", F.size("embedding")).join(counts, ["label", "d"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed_as = np.dtype("<f4" if single else "<f8")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups(batches, ["label", "d", "block"]):
-            own = part.iloc[:1][["label", "d", "blocks", "block"]]
-            yield own.assign(ids=[part["id"].to_numpy()], weights=[part["n"].to_numpy()], packed=[np.stack(part["embedding"].to_numpy()).astype(packed_as).tobytes()])
+    def turned_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first = np.zeros(len(batch))
+            for d, places in batch.groupby("d", sort=False).indices.items():
+                own = unit(np.stack(batch["embedding"].to_numpy()[places]).astype(np.float64))
+                first[places] = own @ shared.value[d][:, 0] if d in shared.value else own[:, 0]
+            yield batch.assign(first=first)
 
-    keys = f"label {label_kind}, d int, blocks int, block int"
-    blocks = dealt.select("label", "d", "blocks", "block", "id", "n", "embedding").repartition(n, "label", "d", "block").sortWithinPartitions("label", "d", "block")
-    blocks = written(blocks.mapInPandas(pack, f"{keys}, ids array<{kind}>, weights array<long>, packed binary"))
-    # A block's one row goes to each of its label's tiles (x <= y).
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = blocks.withColumn("other", other).select("label", "d", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "ids", "weights", "packed")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in groups(batches, ["label", "d"], block):
+            own, d = part.iloc[:1][["label", "d"]], int(part["d"].iloc[0])
+            vectors = np.stack(part["embedding"].to_numpy()).astype(packed_as)
+            turned = unit(vectors.astype(np.float64)) @ shared.value.get(d, np.eye(d))
+            lead = turned[:, : LEADING[0]]
+            tail = float(np.sqrt(np.square(turned[:, LEADING[0] :]).sum(axis=1)).max())
+            yield own.assign(ids=[part["id"].to_numpy()], weights=[part["n"].to_numpy()], packed=[vectors.tobytes()], low=[lead.min(axis=0)], high=[lead.max(axis=0)], tail=tail)
+
+    first = classes.withColumn("d", F.size("embedding")).select("label", "d", "id", "n", "embedding")
+    first = first.mapInPandas(turned_first, f"label {label_kind}, d int, id {kind}, n long, embedding {rows.schema['embedding'].dataType.simpleString()}, first double")
+    # One range exchange: a large label's rows fill many ranges, and blocks are cut from each range as it comes.
+    ordered = written(first).repartitionByRange(n, "label", "d", "first").sortWithinPartitions("label", "d", "first").drop("first")
+    made = ordered.mapInPandas(pack, f"label {label_kind}, d int, ids array<{kind}>, weights array<long>, packed binary, low array<double>, high array<double>, tail double")
+    blocks = written(made.withColumn("block", F.monotonically_increasing_id()))
+    pairs = written(tiles_of(blocks, threshold))
+    side = blocks.select("block", "d", "ids", "weights", "packed")
+    tiles = pairs.join(side, F.col("x") == F.col("block")).unionByName(pairs.filter("x != y").join(side, F.col("y") == F.col("block")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         axes = shared.value
-        for tile in groups(batches, ["label", "d", "x", "y"]):
+        for tile in groups(batches, ["x", "y"]):
             d = int(tile["d"].iloc[0])
             turned = axes.get(d)
             if turned is None:
@@ -155,13 +191,19 @@ def near_embeddings(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 yield pd.DataFrame({"a": ids[at], "b": [None] * len(at), "links": links[at]}).astype({"b": "object"})
                 yield pd.DataFrame({"a": a_out, "b": b_out, "links": 0})
 
-    dealt = tiles.repartition(n, "label", "d", "x", "y").sortWithinPartitions("label", "d", "x", "y")
+    dealt = tiles.repartition(n, "x", "y").sortWithinPartitions("x", "y")
     found = written(dealt.mapInPandas(compare, f"a {kind}, b {kind}, links long"))
     parts = components(found.filter(F.col("b").isNotNull()))
     links = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
     result = classes.join(links, classes["id"] == links["linked"], "left").drop("linked").join(parts, "id", "left")
-    result = result.select(F.col("label").alias("l"), F.col("embedding").alias("e"), F.coalesce("component", "id").alias("component"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = rows.join(result, (rows["label"] == result["l"]) & (rows["embedding"] == result["e"]), "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    n_links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
-    return joined.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    result = result.select(
+        F.col("label").alias("l"), F.xxhash64("embedding").alias("digest"), F.col("embedding").alias("e"), F.coalesce("component", "id").alias("component"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n"
+    )
+    result = written(result)
+    # Back to the rows, of which copies of one vector are spread over tasks; equal digests are not taken for equal vectors.
+    fit = F.coalesce(usable("embedding", "label") & F.col("vec_id").isNotNull(), F.lit(False))
+    asked = rows.filter(fit).select("vec_id", F.col("label").alias("l"), F.xxhash64("embedding").alias("digest"), "embedding")
+    joined = spread_join(asked, result.drop("n"), ["l", "digest"], hubs(result, ["l", "digest"]), "vec_id").filter(F.col("embedding") == F.col("e"))
+    found = joined.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    others = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -67,3 +67,31 @@ def test_query_on_test_table(spark):
     sf = "/root/testdata/sf0.001"
     data = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op6_embedding_near_dedup(spark, sf).collect()} == brute(data)
+
+
+def test_tiles_that_cannot_reach_the_threshold_are_never_made(spark):
+    from quern.llm.embedding_dedup import tiles_of
+
+    rows = [("a", 2, k, [low, 0.0], [high, 0.1], tail) for k, (low, high, tail) in enumerate([(0.95, 1.0, 0.2), (0.9, 0.94, 0.3), (-1.0, -0.9, 0.1), (0.1, 0.3, 0.99), (0.96, 0.99, 0.01)])]
+    blocks = spark.createDataFrame(rows + [("b", 2, 9, [1.0, 0.0], [1.0, 0.0], 0.0)], "label string, d int, block long, low array<double>, high array<double>, tail double")
+    assert {tuple(r) for r in tiles_of(blocks, 0.93).collect()} == {(0, 0), (0, 1), (1, 1), (2, 2), (3, 3), (0, 4), (1, 4), (4, 4), (9, 9)}
+
+
+def test_clusters_apart_share_no_tile(spark, monkeypatch):
+    from quern.llm import embedding_dedup
+
+    rng = np.random.default_rng(4)
+    centres = np.eye(12)[:6]
+    data = [(i, (centres[i % 6] * (1 + i % 3) + rng.normal(scale=0.01, size=12)).tolist(), 1) for i in range(360)]
+    made = []
+
+    def counted(blocks, threshold, real=embedding_dedup.tiles_of):
+        out = real(blocks, threshold)
+        made.append((blocks.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "tiles_of", counted)
+    found = near_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), block=15).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == brute(data)
+    blocks, tiles = made[0]
+    assert tiles < 0.8 * blocks * (blocks + 1) / 2
