@@ -1,6 +1,10 @@
+import random
+import re
+import time
+
 import pytest
 
-from quern.llm.html_text import blocks_of, expression, extract, infer, main_text, stream
+from quern.llm.html_text import Node, blocks_of, expression, extract, infer, likeness, main_text, pairs, stream
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a = "<p>no</p>";</script></head><body class="has-menu">
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/a>A</a></ul></nav>
@@ -86,3 +90,78 @@ def test_query_on_test_table(spark, sf):
     assert {r.page_id for r in found} == set(pages)
     for r in found:
         assert r.n_chars == len(r.text) and "<p" not in r.text and not any(line != " ".join(line.split()) for line in r.text.split("\n"))
+
+
+WORDY = "the river ran past old mills and wide fields while carts went to market".split()
+
+
+def anonymous(n, rng):
+    """A page of unnamed ``div``s: menu, notice, article, comments, links to other pages, and a last line."""
+    say = lambda k: " ".join(rng.choice(WORDY) for _ in range(k)) + f" {rng.randrange(10**6)}"
+    body = [f"<h1>{say(4)}</h1>"] + [f"<p>{say(rng.randint(20, 60))}</p>" for _ in range(rng.randint(2, 6))]
+    if n % 3 == 0:
+        body.insert(2, f"<h2>{say(3)}</h2>")
+    text = [re.sub("<[^>]*>", "", x) for x in body]
+    menu = "".join(f'<a href="/{k}">{say(1)}</a> ' for k in range(5))
+    comments = "".join(f"<div><div>{say(2)}</div><div>{say(rng.randint(5, 25))}</div></div>" for _ in range(n % 5))
+    others = "".join(f'<div><a href="/p{k}">{say(6)}</a></div>' for k in range(4))
+    notice = "<div>Our cookies keep this place going</div>" if n % 2 else ""
+    return f"<html><body><div>{menu}</div>{notice}<div><div>{''.join(body)}<div>Sign up for our weekly letter</div></div><div>{comments}</div></div><div>{others}</div><div>All rights kept by the mill</div></body></html>", "\n".join(text)
+
+
+def test_wrapper_finds_articles_that_nothing_names():
+    rng = random.Random(3)
+    pages = [anonymous(n, rng) for n in range(60)]
+    wrapper = infer([html for html, _ in pages[:8]])
+    right = sum(extract(html, wrapper) == text for html, text in pages)
+    alone = sum(extract(html, None) == text for html, text in pages)
+    assert right == len(pages) and alone == 0, (right, alone)
+
+
+def test_expression_decides_and_not_the_lists(monkeypatch):
+    from quern.llm import html_text
+
+    pages = [page(n) for n in range(12)]
+    for name in ("ASIDE", "ROLES", "WORDS"):
+        monkeypatch.setattr(html_text, name, frozenset())
+    wrapper = infer(pages[:8])
+    assert [extract(p, wrapper) for p in pages] == [text(n) for n in range(12)]
+
+
+def plain_alignment(a, b):
+    """The greatest likeness of all alignments, by trying each."""
+    if not a or not b:
+        return 0.0
+    like = likeness(a[0], b[0])
+    return max(plain_alignment(a[1:], b), plain_alignment(a, b[1:]), like + plain_alignment(a[1:], b[1:]) if like else 0.0)
+
+
+def test_alignment_is_the_best_one():
+    rng = random.Random(8)
+    node = lambda: Node(rng.choice(["div", "p", "ul"]), [Node(x) for x in rng.sample(["a", "b", "c"], rng.randint(0, 3))])
+    for _ in range(300):
+        a, b = [node() for _ in range(rng.randint(0, 6))], [node() for _ in range(rng.randint(0, 6))]
+        found = pairs(a, b)
+        assert [i for i, _ in found if i is not None] == list(range(len(a))) and [j for _, j in found if j is not None] == list(range(len(b)))
+        assert abs(sum(likeness(a[i], b[j]) for i, j in found if i is not None and j is not None) - plain_alignment(a, b)) < 1e-9
+
+
+def test_text_is_kept_whatever_its_names_and_depth():
+    assert extract('<div class="post-share related-content"><p>the whole text</p></div>', None) == "the whole text"
+    for depth in (5, 210, 3000):
+        assert extract("<article>" + "<div>" * depth + "<nav>MENU</nav><p>a</p><p>b</p>" + "</div>" * depth + "</article>", None) == "a\nb"
+
+
+def test_odd_pages_take_time_in_proportion():
+    began = time.monotonic()
+    for one in ('<a "', "<div>x", "<b><p>x", "<span>", "<li>x<span>", "<ul><li>x", "<td>x", "</div>", "<a href=x", "<!--", "<p>x</p><h2>y</h2>", "<div><p>x</div>", "&amp;", "<"):
+        for page in (one * 20_000, "<article>" + one * 20_000 + "<p>end</p>"):
+            wrapper = infer([page, page + "<p>1</p>", page + "<p>2</p>"])
+            extract(page, wrapper)
+    assert time.monotonic() - began < 240
+
+
+def test_pages_without_id_and_url(spark):
+    data = [(None, None, page(n % 4)) for n in range(80)]
+    found = main_text(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
+    assert sorted(r.text for r in found) == sorted(text(n % 4) for n in range(80))
