@@ -7,8 +7,8 @@ any of them, minimises the non-negative risk estimate
 
     prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive))
 
-in numpy. Both training samples are bounded and chosen by a hash of the id; the prior is
-counted over all labels that may be learned from.
+in numpy. Both training samples are bounded, chosen by a hash of the id, and written once; the prior is
+counted over all labels that may be learned from, and features' documents over all texts that may.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
 #: Documented bounds: training rows of either kind, and features.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 8_000, 24_000, 30_000
@@ -36,7 +36,7 @@ TWICE = " 2"
 COUNTS, SHARES = (1, 2, 3, 5), (0.0025, 0.005, 0.01, 0.02)
 TOTALS = [f" n{x}" for x in COUNTS] + [f" s{x}" for x in SHARES]
 #: Tokens that a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -54,8 +54,8 @@ class Lookup:
     def __init__(self, known: dict[str, int]):
         self.known, self.seen, self.some = known, set(), {}
         self.base = {f.removesuffix(TWICE) for f in known}
-        self.counts = [(x, known[f]) for x, f in zip(COUNTS, TOTALS, strict=False)] if known else []
-        self.shares = [(x, known[f]) for x, f in zip(SHARES, TOTALS[len(COUNTS) :], strict=True)] if known else []
+        self.counts = [(x, known[f]) for x, f in zip(COUNTS, TOTALS, strict=False) if f in known]
+        self.shares = [(x, known[f]) for x, f in zip(SHARES, TOTALS[len(COUNTS) :], strict=True) if f in known]
 
     def __call__(self, text: str | None) -> list[int]:
         words = (text or "").lower().split()
@@ -126,6 +126,13 @@ def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_feature
     return w[:-1], float(w[-1])
 
 
+def telling(p, u, n_p: int, n_u: int, prior: float, root):
+    """Of a feature that ``p`` of n_p positive and ``u`` of n_u unlabelled texts have: the share of those who have it that is estimated to be positive, and the deviations from chance. For columns and arrays."""
+    in_p, in_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
+    spread = root((in_p * n_p + in_u * n_u) / float(n_p + n_u) / min(n_p, n_u))
+    return prior * in_p / in_u, (in_p - in_u) / spread
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Model:
     """Learn from rows outside fold 0. Labels come from ``labels`` only; rows without text or id teach nothing."""
     may = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold("id", folds) != 0))
@@ -136,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     some = by_hash(texts.select("id").filter(F.col("id").isNotNull() & (fold("id", folds) != 0)), max_unlabelled).select("id", F.lit(False).alias("positive"))
     chosen = positive.unionByName(some)  # at most max_positive + max_unlabelled ids, and so small enough to broadcast
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "positive")
+    rows = written(texts.join(F.broadcast(chosen), "id").select("text", "positive"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,13 +167,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not n_p or not n_u:
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
     sums = rows.mapInPandas(counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    # Features that tell the samples apart: a positive's share well above the unlabelled one's, beyond chance.
-    lift = (F.col("p") + 0.5) / (n_p + 1) - (F.col("u") + 0.5) / (n_u + 1)
-    spread = F.sqrt((F.col("p") + F.col("u") + 1) / float(n_p + n_u) / min(n_p, n_u))
-    often = prior * (F.col("p") + 0.5) / (n_p + 1) > MIN_SHARE * (F.col("u") + 0.5) / (n_u + 1)
-    telling = sums.filter((F.col("p") >= 5) & often & (lift / spread > MIN_DEVIATIONS)).orderBy((lift / spread).desc(), "feature").limit(max_features)
-    names = [r["feature"] for r in telling.select("feature").collect()]  # at most max_features
-    known = {f: i for i, f in enumerate([*names, *TOTALS])} if names else {}
+    # Features that tell the samples apart: a positive's share well above the unlabelled one's, beyond chance. The sample
+    # only names candidates, by half of what is asked in the end; how many documents have them is then counted over all training rows.
+    share, deviations = telling(F.col("p"), F.col("u"), n_p, n_u, prior, F.sqrt)
+    likely = sums.filter((F.col("p") >= 5) & (share > MIN_SHARE / 2) & (deviations > MIN_DEVIATIONS / 2)).orderBy(deviations.desc(), "feature").limit(2 * max_features)
+    candidates = likely.select("feature", "p").toArrow().to_pandas()  # at most 2 * max_features
+    names = candidates["feature"].tolist()
+    asked = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    everyone = texts.filter(F.col("id").isNotNull() & (fold("id", folds) != 0)).select("text")
+
+    def recounted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look, u, n = Lookup(asked.value), np.zeros(len(asked.value), np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            for t in batch["text"]:
+                u[look(t)] += 1
+        own = np.flatnonzero(u)
+        yield pd.DataFrame({"i": [-1, *own], "u": [n, *u[own]]})
+
+    known: dict[str, int] = {}
+    if names:
+        all_u = {r["i"]: r["u"] for r in everyone.mapInPandas(recounted, "i int, u long").groupBy("i").agg(F.sum("u").alias("u")).collect()}  # a number for each candidate
+        p, u = candidates["p"].to_numpy(np.float64), np.array([all_u.get(i, 0) for i in range(len(names))], np.float64)
+        share, deviations = telling(p, u, n_p, all_u[-1], prior, np.sqrt)
+        order = np.argsort(-deviations, kind="stable")
+        names = [names[i] for i in order if share[i] > MIN_SHARE and deviations[i] > MIN_DEVIATIONS][:max_features]
+        known = {f: i for i, f in enumerate([*names, *TOTALS])} if names else {}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +226,10 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't predict to be toxic, with all their columns."""
+    """The rows of ``docs`` that the model doesn't predict to be toxic, with all their columns.
+
+    A null text is judged as an empty one; repeated rows share their fate, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
