@@ -2,8 +2,8 @@
 
 Only confirmed toxic documents count as labelled; everything else, labelled clean or not, is
 unlabelled text that holds a share of toxic documents, the class prior. A linear model over
-words and word beginnings, found once or more often, and over how many of a text's words have
-any of them, minimises the non-negative risk estimate
+words and word beginnings, found once or more often, and if asked over how many of a text's words
+have any of them, minimises the non-negative risk estimate
 
     prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive))
 
@@ -133,8 +133,11 @@ def telling(p, u, n_p: int, n_u: int, prior: float, root):
     return prior * in_p / in_u, (in_p - in_u) / spread
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Model:
-    """Learn from rows outside fold 0. Labels come from ``labels`` only; rows without text or id teach nothing."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, totals: bool = False) -> Model:
+    """Learn from rows outside fold 0. Labels come from ``labels`` only; rows without text or id teach nothing.
+
+    ``totals``: how many of a text's words have any feature are features too.
+    """
     may = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold("id", folds) != 0))
     n, ones = may.agg(F.count("id"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     prior = min(0.95, max(1e-3, ones / n)) if n else 1e-3
@@ -192,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         share, deviations = telling(p, u, n_p, all_u[-1], prior, np.sqrt)
         order = np.argsort(-deviations, kind="stable")
         names = [names[i] for i in order if share[i] > MIN_SHARE and deviations[i] > MIN_DEVIATIONS][:max_features]
-        known = {f: i for i, f in enumerate([*names, *TOTALS])} if names else {}
+        known = {f: i for i, f in enumerate([*names, *(TOTALS if totals else [])])} if names else {}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
