@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Pieces for each bucket in which ranks are counted.
 BUCKET_ROWS = 2_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 
 
 class WordIds(dict):

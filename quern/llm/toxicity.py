@@ -36,7 +36,7 @@ TWICE = " 2"
 COUNTS, SHARES = (1, 2, 3, 5), (0.0025, 0.005, 0.01, 0.02)
 TOTALS = [f" n{x}" for x in COUNTS] + [f" s{x}" for x in SHARES]
 #: Tokens that a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
