@@ -96,3 +96,26 @@ def test_all_cases(spark):
     assert score_lm(frame(spark, empty=True), *model).count() == 0
     nothing = train(frame(spark, empty=True))
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in score_lm(docs, *nothing).collect())
+
+
+def test_own_classes_against_brute_force(spark, monkeypatch):
+    from quern.llm import class_lm
+
+    monkeypatch.setattr(class_lm, "BLOCK", 4)  # several blocks, runs and sums
+    monkeypatch.setattr(class_lm, "RUN", 7)
+    monkeypatch.setattr(class_lm, "GATHERED", 50)
+    rng = np.random.default_rng(3)
+    first, last, k = 5, 30, 3
+    of = rng.integers(0, k, last + 4)
+    prior, weigh = rng.random((last - first, 2 * k)), rng.normal(size=(2 * k, k))
+    texts = [[*rng.integers(1, last + 4, rng.integers(0, 40)).tolist(), 0] for _ in range(60)]
+    ids = spark.createDataFrame([(bytearray(np.array(t, dtype=np.int32).tobytes()),) for t in texts], "ids binary").repartition(5)
+    sides = np.zeros((last - first, 2 * k))
+    for t in texts:
+        for before, own in zip([0, *t], t, strict=False):
+            if first <= own < last:
+                sides[own - first, of[before]] += 1
+            if first <= before < last:
+                sides[before - first, k + of[own]] += 1
+    found = class_lm.own_classes(ids, spark.sparkContext.broadcast(of), first, last, k, prior, weigh)
+    assert found.tolist() == ((sides + prior) @ weigh).argmax(axis=1).tolist()
