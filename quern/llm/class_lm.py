@@ -207,7 +207,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         sides = [x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (bigrams.T @ onto, bigrams @ onto)]
         prior = PRIOR * np.concatenate(sides, axis=1)[own_items:]
         weigh = np.concatenate([np.log(transition), np.log(transition.T)]) - np.concatenate([np.tile(np.log(members + SMOOTHING), (k, 1)), np.zeros((k, k))])
-        classes_of[own_items : len(words)] = own_classes(ids, share(classes_of), own_items, len(words), k, prior[ending[own_items:] - own_items], weigh)
+        classes_of[own_items : len(words)] = own_classes(ids, share(classes_of), own_items, len(words), k, prior, ending[own_items:] - own_items, weigh)
         table = counted_pairs(share(classes_of), k)
     transition, members = transitions(table)
     distinct = np.bincount(classes_of, summed(counts.mapInPandas(grouped, "at long, n long"), len(classes_of)), k)
@@ -241,17 +241,17 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np
             yield np.concatenate([[flat[at - 1] if at else 0], own[:-1]]), own
 
 
-def own_classes(ids: DataFrame, classes, first: int, last: int, k: int, prior: np.ndarray, weigh: np.ndarray) -> np.ndarray:
+def own_classes(ids: DataFrame, classes, first: int, last: int, k: int, prior: np.ndarray, ending: np.ndarray, weigh: np.ndarray) -> np.ndarray:
     """The class of each word number from ``first`` on and before ``last``: where its neighbours' classes, counted over all texts, are likeliest.
 
-    Words are dealt to blocks in turn, so that each has frequent and rare ones. A block's counts are
+    ``prior`` has a row for each ending, ``ending`` the row of each word. Words are dealt to blocks in turn, so that each has frequent and rare ones. A block's counts are
     packed arrays, summed first for ``FAN_IN`` map tasks at a time and then as a whole.
     """
     blocks = -(-(last - first) // BLOCK)
     cells = BLOCK * 2 * k
 
     def packed(block: int, keys: np.ndarray, n: np.ndarray) -> tuple:
-        return block, keys.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()
+        return block, keys.astype(np.min_scalar_type(cells)).tobytes(), n.astype(np.min_scalar_type(n.max())).tobytes()
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, kept, held = classes.value, [], 0
@@ -285,7 +285,8 @@ def own_classes(ids: DataFrame, classes, first: int, last: int, k: int, prior: n
                     if table is not None:
                         yield last_block, table
                     last_block, table = int(block), np.zeros(cells, dtype=np.int64)
-                table[np.frombuffer(keys, np.int32)] += np.frombuffer(n, np.int64)
+                at = np.frombuffer(keys, np.min_scalar_type(cells))
+                table[at] += np.frombuffer(n, f"u{len(n) // len(at)}").astype(np.int64)
         if table is not None:
             yield last_block, table
 
@@ -294,13 +295,13 @@ def own_classes(ids: DataFrame, classes, first: int, last: int, k: int, prior: n
             some = np.flatnonzero(table)
             yield pd.DataFrame([packed(block, some, table[some])], columns=["block", "keys", "n"])
 
-    side = ids.sparkSession.sparkContext.broadcast((prior, weigh))
+    side = ids.sparkSession.sparkContext.broadcast((prior, ending, weigh))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prior, weigh = side.value
+        prior, ending, weigh = side.value
         for block, table in sums(batches):
             words = np.arange(block, last - first, blocks)
-            best = ((table.reshape(BLOCK, 2 * k)[: len(words)] + prior[words]) @ weigh).argmax(axis=1)
+            best = ((table.reshape(BLOCK, 2 * k)[: len(words)] + prior[ending[words]]) @ weigh).argmax(axis=1)
             yield pd.DataFrame({"word": words, "class": best})
 
     schema = "block int, keys binary, n binary"

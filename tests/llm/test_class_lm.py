@@ -107,7 +107,7 @@ def test_own_classes_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     first, last, k = 5, 30, 3
     of = rng.integers(0, k, last + 4)
-    prior, weigh = rng.random((last - first, 2 * k)), rng.normal(size=(2 * k, k))
+    prior, ending, weigh = rng.random((4, 2 * k)), rng.integers(0, 4, last - first), rng.normal(size=(2 * k, k))
     texts = [[*rng.integers(1, last + 4, rng.integers(0, 40)).tolist(), 0] for _ in range(60)]
     ids = spark.createDataFrame([(bytearray(np.array(t, dtype=np.int32).tobytes()),) for t in texts], "ids binary").repartition(5)
     sides = np.zeros((last - first, 2 * k))
@@ -117,5 +117,5 @@ def test_own_classes_against_brute_force(spark, monkeypatch):
                 sides[own - first, of[before]] += 1
             if first <= before < last:
                 sides[before - first, k + of[own]] += 1
-    found = class_lm.own_classes(ids, spark.sparkContext.broadcast(of), first, last, k, prior, weigh)
-    assert found.tolist() == ((sides + prior) @ weigh).argmax(axis=1).tolist()
+    found = class_lm.own_classes(ids, spark.sparkContext.broadcast(of), first, last, k, prior, ending, weigh)
+    assert found.tolist() == ((sides + prior[ending]) @ weigh).argmax(axis=1).tolist()
