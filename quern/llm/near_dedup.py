@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, groups, hubs, spread_join, written
+from .common import fits, groups, hubs, mapped, spread_join, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -201,7 +201,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     out.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), registers_of(own).tobytes()) if len(own) else (0, None, None))
                 yield pd.DataFrame(out, columns=["n_shingles", "digest", "registers"]).assign(doc_id=part["doc_id"].array, key=part["key"].array)
 
-    return docs.mapInPandas(run, f"{kinds}, n_shingles long, digest binary, registers binary")
+    return mapped(docs, run, f"{kinds}, n_shingles long, digest binary, registers binary")
 
 
 def band_table(classes: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def band_table(classes: DataFrame) -> DataFrame:
             keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch["registers"]]
             yield pd.DataFrame({"key": np.concatenate(keys), "id": batch["id"].repeat(BANDS).array}) if keys else pd.DataFrame({"key": [], "id": []})
 
-    return written(classes.select("id", "registers").mapInPandas(keyed, f"key long, id {kind}"))
+    return written(mapped(classes.select("id", "registers"), keyed, f"key long, id {kind}"))
 
 
 def families(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +248,7 @@ def confirmed(tiles: DataFrame, percent: int, kind: str) -> DataFrame:
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.select("family", "x", "y", "id", "hashes", "registers", "own", "part").repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y")
-    return dealt.mapInPandas(run, f"a {kind}, b {kind}")
+    return mapped(dealt, run, f"a {kind}, b {kind}")
 
 
 def linked(docs: DataFrame, members: DataFrame, shared: DataFrame, percent: int, block: int, wide_block: int) -> DataFrame:
@@ -272,7 +272,7 @@ def linked(docs: DataFrame, members: DataFrame, shared: DataFrame, percent: int,
     texts = docs.join(F.broadcast(side) if fits(side) else side, (F.col("doc_id") == F.col("own_id")) & (F.col("key") == F.col("own_key")))
     # Repeated rows are one member.
     texts = texts.select("id", "family", "lead", "crowd", "each", "blocks", "wide", "text").dropDuplicates(["id"])
-    full = written(texts.mapInPandas(hashed, f"id {kind}, family {kind}, lead long, crowd long, each double, blocks int, wide int, hashes binary, registers binary"))
+    full = written(mapped(texts, hashed, f"id {kind}, family {kind}, lead long, crowd long, each double, blocks int, wide int, hashes binary, registers binary"))
 
     def dealt(n: str, most: int) -> Column:
         """A block among ``n``: members with a common lead share one, unless they are too many for it."""

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 CAPACITY = 2048
 #: Pieces for each bucket in which ranks are counted.
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_i
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # Sequences are (lengths, how many of them) pairs; all sequences of a pair hold those lengths in that order.
@@ -274,4 +274,4 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                 yield pd.concat(out)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return ranked.mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

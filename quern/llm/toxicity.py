@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import bounded, fold, mapped, written
 
 #: Documented bounds: training rows of either kind, and features.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 8_000, 24_000, 30_000
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n_p, n_u = size.get(True, 0), size.get(False, 0)
     if not n_p or not n_u:
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
-    sums = rows.mapInPandas(counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    sums = mapped(rows, counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     # Features that tell the samples apart: a positive's share well above the unlabelled one's, beyond chance. The sample
     # only names candidates, by half of what is asked in the end; how many documents have them is then counted over all training rows.
     share, deviations = telling(F.col("p"), F.col("u"), n_p, n_u, prior, F.sqrt)
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     known: dict[str, int] = {}
     if names:
-        all_u = {r["i"]: r["u"] for r in everyone.mapInPandas(recounted, "i int, u long").groupBy("i").agg(F.sum("u").alias("u")).collect()}  # a number for each candidate
+        all_u = {r["i"]: r["u"] for r in mapped(everyone, recounted, "i int, u long").groupBy("i").agg(F.sum("u").alias("u")).collect()}  # a number for each candidate
         p, u = candidates["p"].to_numpy(np.float64), np.array([all_u.get(i, 0) for i in range(len(names))], np.float64)
         share, deviations = telling(p, u, n_p, all_u[-1], prior, np.sqrt)
         order = np.argsort(-deviations, kind="stable")
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pd.DataFrame({"positive": batch["positive"], "own": [look(t) for t in batch["text"]]})
 
-    found = rows.mapInPandas(looked_up, "positive boolean, own array<int>").toArrow().to_pandas()  # a few numbers for each row of a bounded sample
+    found = mapped(rows, looked_up, "positive boolean, own array<int>").toArrow().to_pandas()  # a few numbers for each row of a bounded sample
     rows_of = lambda y: sorted(list(map(int, own)) for own in found.loc[found["positive"] == y, "own"])  # noqa: E731  sorted: rows come in any order
     weights, bias = train_nnpu(rows_of(True), rows_of(False), len(known), prior)
     return Model(known, weights, bias)
@@ -225,7 +225,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [model.score(look(t)) for t in batch["text"]]})
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(scored, f"doc_id {kind}, score double").select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return mapped(rows, scored, f"doc_id {kind}, score double").select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -233,6 +233,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     A null text is judged as an empty one; repeated rows share their fate, and an empty table stays empty.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
