@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources.batches import BATCH_BYTES, bounded, mapped  # noqa: F401
 from quern.sources.shared import shared_dir, written  # noqa: F401
 
 #: White space of every contract here, as a Java and RE2 character class.
@@ -21,24 +22,6 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Most bytes of rows that Python workers get at a time, however long the rows are.
-BATCH_BYTES = 8 << 20
-
-
-def bounded(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes in this session, as Spark's own bound by rows lets them grow with the texts' lengths; a lower bound stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(name, None)
-    if own is None or not own.isdigit() or int(own) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def mapped(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``rows.mapInPandas`` over batches that are bounded by bytes."""
-    bounded(rows.sparkSession)
-    return rows.mapInPandas(run, schema)
-
-
 #: Most bytes of values that a side may hold to be broadcast.
 BROADCAST_BYTES = 64 << 20
 

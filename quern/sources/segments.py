@@ -10,7 +10,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 from quern.functions.lzo import lzo1x_compress, lzo1x_decompress
 from quern.functions.wire import END_OF_RUN, RecordStream, decode_records, encode_record, encode_vint
 from quern.operators.exchange import sorted_partitions
+from quern.sources.batches import mapped
 
 BLOCK_BYTES = 256 * 1024
+#: Bytes of a run file that are read at a time.
+PIECE_BYTES = 4 << 20
 CODECS = ("none", "snappy", "lz4", "zlib", "lzo1x")
 _END = encode_vint(END_OF_RUN) * 2
 _HEADER = struct.Struct(">II")
@@ -99,7 +104,7 @@ def encode_segments(records: DataFrame, key: str = "key", value: str = "value",
         if part is not None:
             yield out(_END)
 
-    return dealt.mapInPandas(run, SEGMENT)
+    return mapped(dealt, run, SEGMENT)
 
 
 def decode_segments(segments: DataFrame, codec: str = "none", data: str = "data") -> DataFrame:
@@ -112,20 +117,111 @@ def decode_segments(segments: DataFrame, codec: str = "none", data: str = "data"
                 if found := list(decode_records(decompress(bytes(d), codec))):
                     yield pd.DataFrame({"part": p, "block": b, "key": [k for k, _ in found], "value": [v for _, v in found]})
 
-    return own.mapInPandas(run, "part int, block int, key binary, value binary")
+    return mapped(own, run, "part int, block int, key binary, value binary")
+
+
+class BlockStream:
+    """Decompressed blocks of a file that comes in pieces cut anywhere: only the block that is still incomplete is held."""
+
+    def __init__(self, codec: str) -> None:
+        self.codec, self.held = codec, []
+        self.size, self.need = 0, 0
+
+    def feed(self, piece: bytes) -> Iterator[bytes]:
+        """The blocks that the piece completes, one at a time; take them all before the next piece."""
+        if self.codec == "none":
+            yield piece
+            return
+        self.held.append(piece)
+        self.size += len(piece)
+        if self.size < self.need:
+            return
+        data, at, self.need = b"".join(self.held), 0, 0
+        while at + _HEADER.size <= len(data):
+            end = at + _HEADER.size + _HEADER.unpack_from(data, at)[1]
+            if end > len(data):
+                self.need = end - at
+                break
+            yield decompress(data[at:end], self.codec)
+            at = end
+        self.held, self.size = [data[at:]], len(data) - at
+
+    def close(self) -> None:
+        decompress(b"".join(self.held), self.codec)  # refuses what is left of a block
+
+
+def run_records(pieces: Iterable[bytes], codec: str = "none") -> Iterator[list[tuple[bytes, bytes]]]:
+    """The records of one run file that comes in pieces, in lists of about a block: neither the file nor its records are held whole."""
+    blocks, records = BlockStream(codec), RecordStream()
+    for piece in pieces:
+        for raw in blocks.feed(piece):
+            for at in range(0, len(raw), BLOCK_BYTES):
+                if found := records.feed(raw[at : at + BLOCK_BYTES]):
+                    yield found
+        if codec == "none" and records.ended:
+            break
+    blocks.close()
+    records.close()
+
+
+def _python_opens(files: DataFrame) -> bool:
+    """Whether Python finds the files as well as Spark does, by one of each store."""
+    from pyarrow import fs
+
+    for uri in {urlsplit(x)[:2]: x for x in files.inputFiles()}.values():
+        try:
+            system, name = fs.FileSystem.from_uri(uri)
+            if not system.get_file_info(name).is_file:
+                return False
+        except (ValueError, OSError, NotImplementedError):  # a store that only Spark knows
+            return False
+    return True
 
 
 def read_run_files(spark: SparkSession, paths: str | Sequence[str], codec: str = "none") -> DataFrame:
-    """path, key, value of the records in run files, each of which a task reads whole."""
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
+    """path, key, value of the records in run files, each of which a task reads from its beginning to its end.
+
+    Python opens the files and reads some of a file at a time, so memory does not grow with them. Where it can't, as
+    in stores that only Spark knows, Spark's reader takes a file into the executor's JVM (at most 2 GB, Spark's
+    limit) and Python gets it in pieces.
+    """
+    if codec not in CODECS:
+        raise ValueError(f"codec {codec!r} is not one of {CODECS}")
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    schema = "path string, key binary, value binary"
+
+    def rows(path: str, pieces: Iterable[bytes]) -> Iterator[pd.DataFrame]:
+        for found in run_records(pieces, codec):
+            yield pd.DataFrame({"path": path, "key": [k for k, _ in found], "value": [v for _, v in found]})
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                if found := list(decode_records(decompress(bytes(data), codec))):
-                    yield pd.DataFrame({"path": path, "key": [k for k, _ in found], "value": [v for _, v in found]})
+            for path in batch["path"]:
+                system, name = fs.FileSystem.from_uri(quote(path, safe="/:@"))  # Spark's paths are not escaped
+                with system.open_input_file(name) as file:
+                    yield from rows(path, iter(lambda f=file: f.read(PIECE_BYTES), b""))
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = 0
+
+        def file_and_piece() -> Iterator[tuple[int, str, bytes]]:
+            nonlocal number
+            for batch in batches:
+                for path, piece, data in zip(batch["path"], batch["piece"], batch["data"], strict=True):
+                    number += piece == 0
+                    yield number, path, bytes(data)
+
+        for (_, path), pieces in groupby(file_and_piece(), key=lambda x: x[:2]):
+            yield from rows(path, (data for _, _, data in pieces))
 
-    return files.mapInPandas(run, "path string, key binary, value binary")
+    if _python_opens(files):
+        return mapped(files.select("path"), opened, schema)
+    # Pieces stay in the task and in the order of their file.
+    numbers = F.sequence(F.lit(0), F.floor((F.col("length") - 1) / PIECE_BYTES).cast("int"))
+    cut = F.transform(numbers, lambda i: F.substr("content", i * PIECE_BYTES + 1, F.lit(PIECE_BYTES)))
+    return mapped(files.filter("length > 0").select("path", F.posexplode(cut).alias("piece", "data")), sliced, schema)
 
 
 def write_run_files(segments: DataFrame, path: str) -> DataFrame:
@@ -163,7 +259,7 @@ def write_run_files(segments: DataFrame, path: str) -> DataFrame:
         if out is not None:
             yield finished()
 
-    return own.repartition(n, "part").sortWithinPartitions("part", "block").mapInPandas(run, "path string, part int, records long, bytes long")
+    return mapped(own.repartition(n, "part").sortWithinPartitions("part", "block"), run, "path string, part int, records long, bytes long")
 
 
 def file_chunks(files: DataFrame, chunk: int) -> DataFrame:
@@ -210,4 +306,4 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"path": path, "key": [k for k, _ in found], "value": [v for _, v in found]})
         stream.close()
 
-    return chunks.select("path", "chunk", "data").repartition(n, "path").sortWithinPartitions("path", "chunk").mapInPandas(run, "path string, key binary, value binary")
+    return mapped(chunks.select("path", "chunk", "data").repartition(n, "path").sortWithinPartitions("path", "chunk"), run, "path string, key binary, value binary")

@@ -1,5 +1,7 @@
 """Operators against plain Python."""
 
+import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -296,6 +298,66 @@ def test_run_files_and_ranged_reads(spark, tmp_path):
     files.unpersist()
 
 
+@pytest.mark.parametrize("codec", ["none", "snappy", "zlib"])
+@pytest.mark.parametrize("known", [True, False])
+def test_run_files_are_read_in_pieces(spark, tmp_path, monkeypatch, codec, known):
+    # No file is taken whole where Python opens it: Spark's bound on whole files is below their lengths.
+    monkeypatch.setattr(segments, "PIECE_BYTES", 100, raising=False)
+    if known:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", 300)
+    else:
+        monkeypatch.setattr(segments, "_python_opens", lambda files: False)
+    rows = [(bytearray(b"k%05d" % i), bytearray(random.Random(i).randbytes(i % 70))) for i in range(300)] + [(bytearray(b"k00150"), bytearray(random.Random(0).randbytes(5000)))]
+    folder = tmp_path / "odd %20#name"
+    try:
+        blocks = segments.encode_segments(spark.createDataFrame(rows, "key binary, value binary"), n=2, codec=codec, block_bytes=700).collect()
+        folder.mkdir()
+        for part in {b.part for b in blocks}:
+            data = b"".join(bytes(b.data) for b in sorted(blocks, key=lambda b: b.block) if b.part == part)
+            (folder / f"{part}.run").write_bytes(data)
+        (folder / "empty.run").write_bytes(b"")
+        found = segments.read_run_files(spark, f"file://{tmp_path}/odd*/*.run", codec)
+        assert Counter((bytes(r.key), bytes(r.value)) for r in found.collect()) == Counter((bytes(k), bytes(v)) for k, v in rows)
+        assert {r.path for r in found.select("path").distinct().collect()} == {f"file:{folder}/{part}.run" for part in {b.part for b in blocks}}
+        (folder / "empty.run").write_bytes(data[:-20])
+        with pytest.raises(Exception, match="ends inside"):
+            segments.read_run_files(spark, f"file://{tmp_path}/odd*/*.run", codec).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+@pytest.mark.parametrize("codec", ["none", "lz4"])
+def test_run_records_hold_little_of_a_file(codec):
+    raw = b"".join(wire.encode_record(b"%07d" % i, b"v" * 9) for i in range(20_000))
+    block, times = segments.compress(raw, codec), 20
+    end = segments.compress(wire.encode_vint(-1) * 2, codec)
+    tracemalloc.start()
+    lengths = [len(x) for x in segments.run_records((x for x in [block] * times + [end]), codec)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(lengths) == 20_000 * times and max(lengths) < 20_000 and most < times * len(raw)  # less than the records as bytes
+
+
+def test_long_records_are_joined_once():
+    stream, joined = wire.RecordStream(), 0
+    record = wire.encode_record(b"k", b"v" * 200_000)
+    for at in range(0, len(record) - 1, 1000):
+        assert not stream.feed(record[at : min(at + 1000, len(record) - 1)])
+        joined += len(stream.held) == 1
+    assert joined <= 2 and stream.feed(record[-1:]) == [(b"k", b"v" * 200_000)]
+    stream.close()
+
+
+def test_python_gets_segments_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(64 << 20))
+    try:
+        made = segments.encode_segments(spark.createDataFrame([(b"k", b"v")], "key binary, value binary"), n=1)
+        assert int(spark.conf.get(name)) <= 8 << 20 and made.count() == 1
+    finally:
+        spark.conf.unset(name)
+
+
 def test_success_that_is_taken_back(spark):
     rows = [("t", "a1", 1, "ok"), ("t", "a2", 2, "failed"), ("u", "b2", 1, "ok"), ("u", "b1", 2, "ok"), ("u", "b1", 3, "killed"), ("w", "c", 5, "failed")]
     events = spark.createDataFrame(rows, "task string, attempt string, at int, status string")
