@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fits, groups, hubs, mapped, spread_join, written
-from .components import components
+from .components import Union, components
 
 SHINGLE, PERCENT = 5, 85
 #: A pair at the threshold shares no key with probability (1 - 0.85 ** ROWS) ** BANDS = 7e-7.
@@ -142,24 +142,6 @@ def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return (where >= threshold) | (best - at <= SLACK)
 
 
-class Union:
-    """Which members are linked, by their places in a block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def links(sets: list[np.ndarray], registers: np.ndarray, percent: int, known: Union, some: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what is similar, confirmed on full sets; none between members that ``known`` has linked.
 

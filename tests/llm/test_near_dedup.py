@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from quern.llm import components as components_module
 from quern.llm.components import components as spark_components
 from quern.llm.near_dedup import REGISTERS, likely, near_dedup, registers_of, representatives
+from quern.sources import shared
 
 from .helpers import WORD, ascii_lower, components, frame, rows
 
@@ -94,7 +97,7 @@ def test_components(spark):
     assert spark_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_rows_that_share_an_id_but_not_a_text(spark):
+def test_pairs_foundthat_share_an_id_but_not_a_text(spark):
     words = [f"w{k}" for k in range(100)]
     data = [(1, " ".join(words), None, None, None), (2, " ".join(words[:99]), None, None, None), (2, "quite another text of its own", None, None, None), (3, "quite another text of its own", None, None, None)]
     found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, data=data)).collect())
@@ -107,3 +110,55 @@ def test_hubs_are_spread(spark):
     edges = [(rng.choice([0, 100_000]), k) for k in range(1, 3000)] + [(5, 100_000)]
     found = {r.id: r.component for r in spark_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == components({x for e in edges for x in e}, edges)
+
+
+def paths_and_stars(seed=7):
+    rng = random.Random(seed)
+    edges = [(rng.choice([0, 5000]), k) for k in range(1, 900)] + [(6000 + k, 6001 + k) for k in range(150)] + [(rng.randrange(8000, 8300), rng.randrange(8000, 8300)) for _ in range(260)] + [(1, 9), (9, 1), (9, 9), (None, 9), (9, None)]
+    rng.shuffle(edges)
+    return edges, [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+
+
+@pytest.mark.parametrize("alone", [None, 0])
+def test_components_by_forests_and_by_stars(spark, alone):
+    edges, real = paths_and_stars()
+    for kind, of in (("long", lambda x: x), ("string", lambda x: None if x is None else str(x)), ("binary", lambda x: None if x is None else str(x).encode())):
+        data = [(of(a), of(b)) for a, b in edges]
+        pairs = [(of(a), of(b)) for a, b in real]
+        table = spark.createDataFrame(data, f"a {kind}, b {kind}").repartition(5)
+        found = spark_components(table) if alone is None else spark_components(table, alone=alone)
+        pairs_found = [(r.id, r.component) if kind != "binary" else (bytes(r.id), bytes(r.component)) for r in found.collect()]
+        assert len(pairs_found) == len(dict(pairs_found))
+        assert dict(pairs_found) == components({x for e in pairs for x in e}, pairs), kind
+    assert spark_components(spark.createDataFrame([], "a long, b long"), alone=-1).count() == 0
+
+
+def test_forests_in_pieces(monkeypatch):
+    edges, real = paths_and_stars()
+    monkeypatch.setattr(components_module, "PIECE", 64)
+    batches = [pd.DataFrame(real[k : k + 50], columns=["u", "v"]) for k in range(0, len(real), 50)]
+    out = list(components_module._forests(iter(batches)))
+    assert max(map(len, out)) <= 64 + 50 and len(out) > 2
+    left = [e for part in out for e in zip(part["u"].tolist(), part["v"].tolist(), strict=True)]
+    nodes = {x for e in real for x in e}
+    assert components(nodes, left) == components(nodes, real)
+
+
+@pytest.mark.parametrize("alone", [None, 0])
+def test_tables_written_for_components(spark, monkeypatch, alone):
+    """A path of 300 nodes took 19 tables and more; each is a shuffle of every partition, however few its rows are. Stars that are complete take no round."""
+    n = [0]
+
+    def counted(df):
+        n[0] += 1
+        return shared.written(df)
+
+    monkeypatch.setattr(components_module, "written", counted)
+    star = [(0, k) for k in range(1, 50)] + [(100, k) for k in range(101, 140)]
+    path = [(k, k + 1) for k in range(300)]
+    for edges in [path, star] if alone is None else [star]:
+        n[0] = 0
+        table = spark.createDataFrame(edges, "a long, b long").repartition(6)
+        found = spark_components(table) if alone is None else spark_components(table, alone=alone)
+        assert n[0] <= (2 if alone is None else 3)
+        assert {r.id: r.component for r in found.collect()} == components({x for e in edges for x in e}, edges)
