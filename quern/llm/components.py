@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fits, hubs, mapped, spread_join, written
 
 #: Most bytes of links, after the tasks' own forests, that one task joins; and links that become a forest at once.
-ALONE_BYTES, PIECE = 32 << 20, 1 << 17
+ALONE_BYTES, PIECE = 32 << 20, 1 << 15
 
 
 class Union:
@@ -92,9 +92,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", alone: int = ALONE_
     links = edges.select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).filter(one.isNotNull() & two.isNotNull() & (one != two))
     kind = links.schema["u"].dataType.simpleString()
     now = written(mapped(links, _forests, f"u {kind}, v {kind}").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    if fits(now, alone):
+    small = fits(now, alone)
+    if not small:  # tasks may have had the same links
+        now = written(now.distinct())
+        small = fits(now, alone)
+    if small:
         return written(mapped(now.repartition(1).sortWithinPartitions("v"), _joined, f"id {kind}, component {kind}"))
-    now = written(now.distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
